@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import reach
+
 #: Keys that may be broadcast: at 8 bytes a key and Spark's hash relation, under about 30 MB. Beyond it a join shuffles.
 BROADCAST_KEYS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return reach(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,9 +49,13 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+def sized(side: DataFrame) -> DataFrame:
+    """A narrow side of a join (keys and a value or two): broadcast if it has at most BROADCAST_KEYS rows, else both sides
+    are shuffled and merged."""
+    few = side.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return F.broadcast(side) if few else side.hint("merge")
+
+
 def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """rows whose key isn't among keys (unique, not null). The keys are broadcast if their count is at most
-    BROADCAST_KEYS, else both sides are shuffled. Rows with a null key stay."""
-    count = keys.limit(BROADCAST_KEYS + 1).count()
-    side = F.broadcast(keys) if count <= BROADCAST_KEYS else keys.hint("merge")
-    return rows.join(side, key, "left_anti")
+    """rows whose key isn't among keys (unique, not null). Rows with a null key stay."""
+    return rows.join(sized(keys), key, "left_anti")
