@@ -1 +1 @@
-
+"""Column to Column functions: regular expressions, minifiers, tokens, formats."""

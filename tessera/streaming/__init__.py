@@ -1 +1 @@
-
+"""The same transforms on a stream of files."""
