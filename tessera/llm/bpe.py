@@ -19,6 +19,8 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 _EXACT = regex.compile(PATTERN)
+#: The same with the usual class of white space, which agrees for characters that aren't in _NOT_FAST.
+SPLIT = PATTERN.replace(r"\p{White_Space}\p{L}", r"\s\p{L}").replace(r"\p{White_Space}", r"\s").replace(r"\P{White_Space}", r"\S")
 #: The same split for texts in which str's classes agree with the properties above; about 1.5 times as fast.
 _FAST = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _NOT_FAST = re.compile(r"[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\u200f\u2028-\u202f\u205f-\U0010ffff]")
@@ -65,12 +67,31 @@ class ByteBpe:
         self.chars = dict(enumerate(_bytes_to_chars()))
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.ranked = self._ranked()
         self.whole = whole_tokens(self) if whole is None else whole
         self.counts = _Memo(dict.fromkeys(self.whole, 1), lambda w: len(self.merge(w)))
         self.ids = _Memo({w: (i,) for w, i in self.whole.items()}, self.merge)
 
+    def _ranked(self):
+        """The same merges by ranks of their results alone, about three times as fast; None if that isn't proved.
+
+        Both methods always merge the pair of least rank. They can part only where two neighbours join to a vocabulary
+        string t by another split than the one that t has a merge for. Up to then, merges within t's bytes were those that t
+        alone undergoes, so the merges would leave t, encoded alone, in these two parts. If they turn every vocabulary
+        string into its own token, that can't happen."""
+        import tiktoken
+
+        back, ranks = {c: b for b, c in self.chars.items()}, {}
+        for shown, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            if [t.id for t in self.model.tokenize(shown)] != [i] or not all(c in back for c in shown):
+                return None
+            ranks[bytes(back[c] for c in shown)] = i
+        return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token by the merges."""
+        if self.ranked is not None:
+            return tuple(self.ranked._encode_single_piece(word))
         return tuple(t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.chars)))
 
     def words(self, text: str) -> list[str]:
@@ -95,6 +116,8 @@ class ByteBpe:
         for k, part in enumerate(self.parts(text)):
             if k % 2:
                 out.append(self.special[part])
+            elif self.ranked is not None and not _NOT_FAST.search(part):
+                out += self.ranked.encode_ordinary(part)
             else:
                 for ids in map(get, self.words(part)):
                     out += ids
