@@ -23,68 +23,69 @@ from tessera.llm.common import fold, table
 #: Length of subsequences, decay of each letter they span.
 ORDER, DECAY = 3, np.float32(0.8)
 #: Landmarks of either kind; labelled documents of either label that training takes at most, their longest text.
-LANDMARKS, PER_LABEL, LONGEST = 32, 2000, 20_000
+LANDMARKS, PER_LABEL, LONGEST = 32, 1500, 12_000
 #: Words that landmarks are picked from, and landmarks of the label that a toxic document should hold.
 CANDIDATES, COVER = 2000, 3
-#: Symbols of words: padding, a-z, five classes of other letters and digits; the last but none stands before each word.
+#: Symbols of words: a-z from 1, five classes of other letters and digits, START before each word.
 SYMBOLS, START = 33, 32
 #: Longest window of a word, longest run of words taken as a sentence, words remembered, characters scored at a time.
-WINDOW, SENTENCE, CACHE, CHUNK = 24, 16, 300_000, 1_000_000
+WINDOW, SENTENCE, CACHE, CHUNK = 24, 16, 900_000, 1_000_000
 THRESHOLD, CLEAR = 0.3, 10
 
-_STOP = re.compile(r"[.!?]+(?=\s)|\n+")
 _NOT_LETTERS = re.compile(r"[\W_]+")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_](?![^\W_])){2,}")
 
 
 def letters(token: str) -> str:
     return _NOT_LETTERS.sub("", token)
 
 
-def sentences(text: str) -> list[list[str]]:
-    """Lower-case words of each sentence, SENTENCE at most; letters that stand alone side by side come again as one word."""
-    text, out = text.lower(), []
-    for sentence in _STOP.split(text):
-        words = sentence.split()
-        for k in range(0, len(words), SENTENCE):
-            out.append(words[k : k + SENTENCE])
-    spaced = [letters(m) for m in _SPACED.findall(text)]
-    return out + [[w] for w in spaced]
+def ends(token: str) -> bool:
+    """Whether a sentence ends with it."""
+    return token[-1] in ".!?"
 
 
-@lru_cache(1 << 16)
-def _symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 5
+def spaced(tokens: list[str], alone: np.ndarray) -> list[str]:
+    """Runs of three or more tokens with one letter each, joined."""
+    out, run = [], []
+    for token, single in zip([*tokens, ""], [*alone.tolist(), False], strict=True):
+        if single:
+            run.append(letters(token))
+        else:
+            if len(run) >= ORDER:
+                out.append("".join(run))
+            run = []
+    return out
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    """Symbols of each word behind the START; 0 fills up."""
-    out = np.zeros((len(words), 1 + max(map(len, words), default=0)), dtype=np.int32)
-    out[:, 0] = START
-    for k, w in enumerate(words):
-        out[k, 1 : len(w) + 1] = [_symbol(c) for c in w]
-    return out
+def starts(end: np.ndarray) -> np.ndarray:
+    """Where sentences begin: behind the end of one, and after SENTENCE tokens at most."""
+    first = np.zeros(len(end), dtype=bool)
+    first[::SENTENCE] = True
+    first[1:] |= end[:-1]
+    return np.flatnonzero(first)
 
 
-def _kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Gap-weighted subsequence kernel of order ORDER. s: (words, symbols), t: (words or 1, landmarks, symbols); zero is
-    padding, which matches nothing."""
-    square = DECAY * DECAY
-    shape, width = np.broadcast_shapes((len(s), 1), t.shape[:2]), t.shape[2]
-    # prefix[i][j]: subsequences of length i of the symbols of s so far and of the first j of t, decayed to the end of both
-    prefix = [[np.full(shape, float(i == 0), dtype=np.float32) for _ in range(width + 1)] for i in range(ORDER)]
-    total = np.zeros(shape, dtype=np.float32)
-    for x in range(s.shape[1]):
-        symbol = s[:, x][:, None]
-        same = [((symbol == t[:, :, j]) & (symbol != 0)).astype(np.float32) * square for j in range(width)]
-        for j in range(width):
-            total += same[j] * prefix[ORDER - 1][j]
-        for i in range(ORDER - 1, 0, -1):
-            ending = np.zeros(shape, dtype=np.float32)
-            for j in range(width):
-                ending = DECAY * ending + same[j] * prefix[i - 1][j]
-                prefix[i][j + 1] = DECAY * prefix[i][j + 1] + ending
-    return total
+def sentences(text: str) -> list[list[str]]:
+    """Lower-case tokens of each sentence, and joined runs of letters that stand alone as sentences of their own."""
+    tokens = text.lower().split()
+    if not tokens:
+        return []
+    at = starts(np.array([ends(t) for t in tokens])).tolist()
+    alone = np.array([len(letters(t)) == 1 for t in tokens])
+    return [tokens[a:b] for a, b in zip(at, [*at[1:], len(tokens)], strict=True)] + [[w] for w in spaced(tokens, alone)]
+
+
+@lru_cache(1)
+def _symbols() -> np.ndarray:
+    """The symbol of each character."""
+    c = np.arange(0x110000)
+    return np.where((c >= 97) & (c <= 122), c - 96, 27 + c % 5).astype(np.int32)
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    """Symbols of words of equal length, behind the START."""
+    data = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), -1)
+    return np.concatenate((np.full((len(words), 1), START, dtype=np.int32), _symbols()[data]), axis=1)
 
 
 @lru_cache(64)
@@ -100,9 +101,15 @@ def _subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (codes[:, a] * SYMBOLS + codes[:, b]) * SYMBOLS + codes[:, c], weight
 
 
+def _norm(length: int) -> float:
+    """What a word of so many symbols, START included, is worth to itself if no subsequence repeats."""
+    return float((_places(length)[1] ** 2).sum())
+
+
 class Landmarks:
     """Landmark words with their weighted subsequences in a table, so that a word's kernels are sums over those of its own
-    subsequences that some landmark has."""
+    subsequences that some landmark has. The gap-weighted subsequence kernel of order ORDER counts common subsequences,
+    each decayed by the letters that it spans in either word; it is normalised by the lengths of both."""
 
     def __init__(self, words: list[str]):
         self.words = words
@@ -110,7 +117,7 @@ class Landmarks:
         for n, w in enumerate(words):
             number, weight = _subsequences(_codes([w]))
             np.add.at(rows[:, n], number[0], weight)
-        self.own = np.maximum((rows * rows).sum(axis=0), np.float32(1e-30))
+        self.own = np.array([_norm(len(w) + 1) for w in words], dtype=np.float32)
         held = np.flatnonzero(rows.any(axis=1))
         self.place = np.full(SYMBOLS**ORDER, -1, dtype=np.int32)
         self.place[held] = np.arange(len(held))
@@ -136,8 +143,7 @@ class Landmarks:
                 if len(row):
                     found, starts = np.unique(row, return_index=True)
                     value[found] = np.add.reduceat(self.rows[place[row, column]] * weight[column, None], starts, axis=0)
-                    codes = codes[found]
-                    value[found] = value[found] ** 2 / np.maximum(_kernel(codes, codes[:, None, :]), 1e-30) / self.own
+                    value = value * value / (np.float32(_norm(length + 1)) * self.own)
                 out[part] = value
         return out
 
@@ -152,40 +158,58 @@ def windows(word: str) -> list[str]:
 @dataclass
 class Model:
     """A sentence's margin is the sum of its words' shares, plus bias. A document's probability is a logistic curve of its
-    largest margin, of whether that is clearly over 0.5, and of its rate: what its sentences have over a margin of -1, for every 20 words."""
+    two largest margins, of whether the first is clearly over 0.5, of its rate (what its sentences have over a margin of -1,
+    for every 20 words) and of its length."""
 
     landmarks: Landmarks | None
     beta: np.ndarray
     bias: float
     curve: np.ndarray
-    shares: dict[str, float] = field(default_factory=dict)
+    shares: dict[str, complex] = field(default_factory=dict)
 
     def __getstate__(self):
         return self.__dict__ | {"shares": {}}
 
+    def value(self, words: set[str]) -> dict[str, float]:
+        """Shares of words without other characters; a word's is the largest of its windows."""
+        parts = {w: windows(w) for w in words if len(w) >= ORDER}
+        unique = sorted({p for ps in parts.values() for p in ps})
+        if not unique or not self.landmarks:
+            return {}
+        found = dict(zip(unique, (self.landmarks.kernels(unique) @ self.beta).tolist(), strict=True))
+        return {w: max(found[p] for p in ps) for w, ps in parts.items()}
+
     def learn(self, tokens: set[str]) -> None:
-        """Shares of tokens not yet known; a token's is the largest of its windows."""
+        """For tokens not yet known: the share, and as imaginary part 1 if a sentence ends there, 2 if it has one letter."""
         if len(self.shares) > CACHE:
             self.shares.clear()
-        new = tokens.difference(self.shares)
-        stripped = {t: letters(t) for t in new}
-        parts = {w: windows(w) for w in set(stripped.values()) if len(w) >= ORDER}
-        unique = sorted({p for ps in parts.values() for p in ps})
-        value = dict(zip(unique, (self.landmarks.kernels(unique) @ self.beta).tolist(), strict=True)) if unique and self.landmarks else {}
-        share = {w: max((value.get(p, 0.0) for p in ps), default=0.0) for w, ps in parts.items()}
+        stripped = {t: letters(t) for t in tokens.difference(self.shares)}
+        value = self.value(set(stripped.values()))
         for t, w in stripped.items():
-            self.shares[t] = share.get(w, 0.0)
+            self.shares[t] = complex(value.get(w, 0.0), ends(t) + 2 * (len(w) == 1))
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Largest margin, whether it is a clear one, and rate of each text; of one without words, the bias, about 0, 0."""
-        split = [sentences(t) for t in texts]
-        self.learn({w for text in split for s in text for w in s})
-        get, out = self.shares.__getitem__, np.zeros((len(texts), 3))
-        for k, text in enumerate(split):
-            sums = [sum(map(get, s)) for s in text]
-            over = self.bias + 1
-            top = self.bias + max(sums, default=0.0)
-            out[k] = top, 1 / (1 + np.exp(-CLEAR * min(max(top - 0.5, -5), 5))), sum(x + over for x in sums if x + over > 0) * 20 / max(20, sum(map(len, text)))
+        """Of each text: largest margin, whether it is a clear one, the next largest, rate, logarithm of its length."""
+        split = [t.lower().split() for t in texts]
+        self.learn({w for tokens in split for w in tokens})
+        get, out, over = self.shares.__getitem__, np.zeros((len(texts), 5)), self.bias + 1
+        for k, tokens in enumerate(split):
+            sums = np.zeros(1)
+            if tokens:
+                found = np.fromiter(map(get, tokens), dtype=np.complex128, count=len(tokens))
+                flags = found.imag.astype(np.int8)
+                share = found.real.copy()
+                share[1:][found[1:] == found[:-1]] = 0  # a word said again and again counts once
+                sums = np.add.reduceat(share, starts(flags & 1 > 0))
+                alone = flags >= 2
+                if (alone[:-2] & alone[1:-1] & alone[2:]).any():
+                    runs = spaced(tokens, alone)
+                    value = self.value(set(runs))
+                    sums = np.concatenate((sums, [value.get(w, 0.0) for w in runs]))
+            top = self.bias + max(0.0, float(sums.max()))
+            second = self.bias + max(0.0, float(np.partition(sums, -2)[-2])) if len(sums) > 1 else top
+            rate = np.maximum(sums + over, 0).sum() * 20 / max(20, len(tokens))
+            out[k] = top, 1 / (1 + np.exp(-CLEAR * min(max(top - 0.5, -5), 5))), second, rate, np.log1p(len(tokens))
         return out
 
     def probability(self, features: np.ndarray) -> np.ndarray:
@@ -235,12 +259,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _never(share: float) -> Model:
     """For want of labels of both kinds, or of any word tied to them: one score for all."""
-    return Model(None, np.zeros(0, dtype=np.float32), 0.0, np.array([0.0, 0.0, 0.0, np.log(max(share, 1e-3) / max(1 - share, 1e-3))]))
+    return Model(None, np.zeros(0, dtype=np.float32), 0.0, np.array([0.0, 0.0, 0.0, 0.0, 0.0, np.log(max(share, 1e-3) / max(1 - share, 1e-3))]))
 
 
-def landmark_words(split: list[list[list[str]]], toxic: list[int]) -> tuple[list[str], list[str]]:
+def landmark_words(split: list[list[list[str]]], toxic: list[int]) -> list[str]:
     """Words and beginnings of words most tied to the label (log likelihood ratio of the documents they are in that don't
-    hold COVER earlier ones yet), and the most frequent other words."""
+    hold COVER earlier ones yet)."""
     n1, n0 = sum(toxic), len(toxic) - sum(toxic)
     where: dict[str, list[list[int]]] = {}
     for d, (label, text) in enumerate(zip(toxic, split, strict=True)):
@@ -266,31 +290,30 @@ def landmark_words(split: list[list[list[str]]], toxic: list[int]) -> tuple[list
             break
         todo[where[best[k]][1]] -= 1
         bad.append(best.pop(k))
-    plain = sorted((w for w in where if w not in ties), key=lambda w: (-len(where[w][0]), w))[: LANDMARKS // 2]
-    return bad, plain
+    return bad
 
 
-def train(texts: list[str], toxic: list[int]) -> Model:
+def train(texts: list[str], toxic: list[int], share: float | None = None) -> Model:
     """A model from labelled documents. Which sentences of a toxic document are toxic isn't known: first those near a
     landmark of the label count, then, twice, those that the machine itself finds, and each document's most suspect one.
-    Sentences of other documents aren't."""
+    Sentences of other documents aren't. share: of toxic ones among all labelled documents, if the sample has another."""
     y = np.array(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return _never(float(y.mean()) if len(y) else 0.0)
     split = [sentences(t) for t in texts]
-    bad, plain = landmark_words(split, toxic)
-    if not bad:
+    words = landmark_words(split, toxic)
+    if not words:
         return _never(float(y.mean()))
-    landmarks = Landmarks(bad + plain)
+    landmarks = Landmarks(words)
     tokens = sorted({w for text in split for s in text for w in s})
     place = {t: k for k, t in enumerate(tokens)}
     shares = landmarks.kernels([letters(t)[:WINDOW] for t in tokens])
-    rows = [(d, s) for d, text in enumerate(split) for s in text if s]
+    rows = [(d, [w for w, v in zip(s, ["", *s], strict=False) if w != v]) for d, text in enumerate(split) for s in text]
     lengths = np.array([len(s) for _, s in rows])
     index = np.array([place[w] for _, s in rows for w in s])
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    x = np.add.reduceat(shares[index], starts, axis=0)
-    near = np.maximum.reduceat(shares[index, : len(bad)].max(axis=1), starts)
+    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    x = np.add.reduceat(shares[index], first, axis=0)
+    near = np.maximum.reduceat(shares.max(axis=1)[index], first)
     doc = np.array([d for d, _ in rows])
     values, vectors = np.linalg.eigh(landmarks.kernels(landmarks.words).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
@@ -304,15 +327,17 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         margin = features @ w[:-1] + w[-1]
         most = pd.Series(margin).groupby(doc).transform("max").to_numpy()
         positive = ~clean & ((margin > 0) | ((margin == most) & (margin > -0.8)))
-    model = Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]), np.zeros(4))
+    model = Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]), np.zeros(6))
     model.curve = _logistic(model.features(texts), y)
+    if share is not None and 0 < share < 1:
+        model.curve[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return model
 
 
-def sampled(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[list[str], list[int]]:
-    """Texts and labels to train on: of rows that aren't held out (crc32 of doc_id modulo 4 other than 2), the per_label of
-    either label with the smallest hash of their id, texts over LONGEST characters left out. At most 2 per_label ids and
-    texts reach the driver."""
+def sampled(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[list[str], list[int], float | None]:
+    """Texts and labels to train on, and the share of toxic labels: of rows that aren't held out (crc32 of doc_id modulo 4
+    other than 2), the per_label of either label with the smallest hash of their id, texts over LONGEST characters left
+    out. At most 2 per_label ids and texts reach the driver; the share is of all rows that aren't held out."""
     free = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "toxic")
     ids = None
     for label in (0, 1):
@@ -322,7 +347,7 @@ def sampled(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> t
     rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id")
     one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("toxic"))  # repeated ids count once
     found = sorted((r.doc_id, r.text, r.toxic) for r in one.collect())
-    return [t for _, t, _ in found], [int(k) for _, _, k in found]
+    return [t for _, t, _ in found], [int(k) for _, _, k in found], free.agg(F.avg("toxic")).first()[0]
 
 
 def toxicity(spark: SparkSession, text: Column, model: Model) -> Column:
