@@ -84,7 +84,8 @@ def prototypes(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, n
             for lang, text in zip(pdf.lang, pdf.text, strict=True):
                 if (vector := profile(text)) is not None:
                     sums[lang] = sums.get(lang, 0) + vector / max(1e-9, float(np.linalg.norm(vector)))
-        yield pd.DataFrame({"lang": list(sums), "bundle": [v.astype(np.float64).tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "bundle": [v.astype(np.float64).tolist() for v in sums.values()]})
 
     rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInPandas(bundle, "lang string, bundle array<double>")
     sums: dict[str, np.ndarray] = {}
@@ -97,7 +98,7 @@ def predicted_language(spark: SparkSession, text: Column, learned: dict[str, np.
     """A struct lang, score: the language whose prototype has the largest cosine with the text's profile (ties: the first
     by name) and that cosine, at least 0; `und` and 0 for texts that are null, have no letter, or if nothing was learned."""
     names = list(learned)
-    sent = spark.sparkContext.broadcast(np.array([learned[n] for n in names], dtype=np.float32).reshape(len(names), -1))
+    sent = spark.sparkContext.broadcast(np.array([learned[n] for n in names], dtype=np.float32))
 
     @F.pandas_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(texts: pd.Series) -> pd.DataFrame:

@@ -21,7 +21,7 @@ SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN = 4096, 2, 2, 3, 4
 #: A bin with at most this share of room left is final; the pieces of others move on to a merged shard.
 ROOM = 0.004
 #: If more than this share of a level's pieces lies in other bins, these are final too.
-STUCK = 0.7
+STUCK = 0.9
 
 
 def token_pieces(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
