@@ -55,20 +55,19 @@ def _tile(k: int):
     def search(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         """The k best of the tile's vectors for each of its queries. Vectors whose estimate plus bound stays under the
         k-th best exact score of a first choice are discarded; the others are scored on the original vectors."""
-        none = pd.DataFrame({"query_row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(vectors) or not len(queries):
-            return none
+            return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}).astype({"query_row": "int64", "query_id": "int64", "vec_id": "int64"})
         vectors = vectors.sort_values(["vec_id", "row"], ignore_index=True)
         ids, exact = vectors.vec_id.to_numpy(), np.stack(vectors.embedding.to_numpy()).astype(np.float64)
         codes = np.frombuffer(b"".join(vectors.code), dtype=np.uint8).reshape(len(vectors), -1)
         length, fit = vectors.length.to_numpy(), vectors.fit.to_numpy()
         asked = np.stack(queries.embedding.to_numpy()).astype(np.float64)
-        sizes = np.linalg.norm(asked, axis=1)
+        sizes, own_ids = np.linalg.norm(asked, axis=1), queries.vec_id.to_numpy()
         out = []
         for start in range(0, len(queries), 256):
             near, bound = estimates(asked[start : start + 256], codes, length, fit)
             for n, row in enumerate(near, start):
-                query, own = asked[n], queries.vec_id.iat[n]
+                query, own = asked[n], own_ids[n]
                 other = np.flatnonzero(ids != own)
                 if len(other) > 4 * k:
                     first = other[np.argpartition(-row[other], k)[:k]]
@@ -77,8 +76,16 @@ def _tile(k: int):
                     other = np.union1d(other, first)
                 scores = exact[other] @ query
                 best = np.lexsort((ids[other], -scores))[:k]
-                out.append(pd.DataFrame({"query_row": queries.row.iat[n], "query_id": own, "vec_id": ids[other][best], "score": scores[best]}))
-        return pd.concat(out, ignore_index=True)
+                out.append((ids[other][best], scores[best]))
+        counts = [len(found) for found, _ in out]
+        return pd.DataFrame(
+            {
+                "query_row": np.repeat(queries.row.to_numpy(), counts),
+                "query_id": np.repeat(own_ids, counts),
+                "vec_id": np.concatenate([found for found, _ in out]),
+                "score": np.concatenate([score for _, score in out]),
+            }
+        )
 
     return search
 
