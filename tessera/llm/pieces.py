@@ -82,7 +82,10 @@ class Pieces:
         """Ids of a text from one edge to the next. The library puts a space mark in front, so it gets the rest."""
         ids = self.words.get(word)
         if ids is None:
-            ids = tuple(self.library.encode(word[1:], num_threads=1)) if word[0] == SPACE else tuple(i for p in self.merge(word) for i in self.piece_ids(p))
+            if word != SPACE and word[0] == SPACE:
+                ids = tuple(self.library.encode(word[1:], num_threads=1))
+            else:
+                ids = tuple(i for p in self.merge(word) for i in self.piece_ids(p))
             if len(word) <= LONG:
                 if len(self.words) >= CACHE:
                     self.words.clear()
@@ -101,7 +104,8 @@ class Pieces:
         UTF-8 become one replacement character each. A part of a document may be decoded by itself if it begins with no
         continuation byte."""
         text = b"".join(map(self.data.__getitem__, ids)).decode("utf-8", "each_byte")
-        return text[1:] if first and text.startswith(" ") else text
+        begin = next((i for i in ids if self.data[i]), None) if first else None
+        return text[1:] if begin is not None and self.data[begin].startswith(b" ") and not self.library.is_unknown(begin) else text
 
     def states(self, text: str, at: int) -> list[State]:
         """Pieces that start before a place and end there or behind it; one character at least is always a piece."""
