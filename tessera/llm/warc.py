@@ -50,6 +50,8 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 def dictionary(records: list[bytes], size: int = DICTIONARY) -> zstandard.ZstdCompressionDict | None:
     """A Zstandard dictionary of an archive's records, whole ones spread over it up to TRAINED bytes; None if they are too
     few or too alike to train on."""
+    if not records:
+        return None
     step = max(1, -(-sum(map(len, records)) // TRAINED))
     samples = records[::step]
     while len(samples) < 16:
@@ -85,12 +87,12 @@ def frames(data: bytes) -> Iterator[memoryview]:
             head = bytes(view[at : at + 18])
             at += zstandard.frame_header_size(head)
             last = 0
-            while not last:
+            while not last and at < len(data):
                 block = int.from_bytes(view[at : at + 3], "little")
                 last, kind = block & 1, block >> 1 & 3
                 at += 3 + (1 if kind == 1 else block >> 3)
             at += 4 * zstandard.get_frame_parameters(head).has_checksum
-        if at > len(data):
+        if at > len(data) or magic & 0xFFFFFFF0 != 0x184D2A50 and not last:
             raise ValueError("the archive ends within a frame")
         yield view[start:at]
 
