@@ -130,6 +130,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, train: DataFrame) -> DataFrame:
-    """docs whose text has a language at all; all columns stay."""
-    column = predicted_language(spark, F.col("text"), learned_from(train))
+    """docs whose text has a language at all, that is, a letter; all columns stay. If nothing could be learned, letters alone
+    decide."""
+    learned = learned_from(train)
+    if not learned:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    column = predicted_language(spark, F.col("text"), learned)
     return docs.withColumn("_language", column).where(F.col("_language.lang") != UNKNOWN).drop("_language")
