@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.tokens import entry_cost
+from tessera.session import stored
 
 #: Fixed value: entries in the list of largest consumers.
 TOP = 5
@@ -26,10 +27,12 @@ def largest_first() -> tuple[Column, ...]:
 
 def ranked(entries: DataFrame) -> DataFrame:
     """entries(length, relative_path, cost, ...) with rank (from 1) and prev (the cost of all before), in largest-first
-    order. Two passes over the sorted partitions instead of a window over everything."""
+    order. Two passes over the sorted partitions instead of a window over everything. The first pass is stored, since
+    another evaluation could cut the partitions elsewhere; callers give it narrow rows."""
     ordered = entries.repartitionByRange(*largest_first()).sortWithinPartitions(*largest_first()).withColumn("_part", F.spark_partition_id())
     within = Window.partitionBy("_part").orderBy(*largest_first())
     local = ordered.select("*", F.row_number().over(within).alias("_n"), F.sum("cost").over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum"))
+    local = stored(local, "ranks")
     totals = local.groupBy("_part").agg(F.max("_n").alias("_rows"), F.max("_sum").alias("_cost"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     before = totals.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_cost").over(earlier), F.lit(0)).alias("_before"))

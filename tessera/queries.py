@@ -292,18 +292,27 @@ _PARTED = (
 )
 
 
+def _narrow(s: SparkSession, d: str) -> DataFrame:
+    """Ranked entries without contents."""
+    return packing.ranked(_entries(s, d).drop("content", "path", "name", "extension"))
+
+
 def _parted(s: SparkSession, d: str) -> DataFrame:
-    return packing.split_parts(packing.ranked(_entries(s, d)), SPLIT)
+    return packing.split_parts(_narrow(s, d), SPLIT)
+
+
+def _parted_texts(s: SparkSession, d: str) -> DataFrame:
+    return _parted(s, d).join(table_files(s, d, "documents").select("relative_path", "content"), "relative_path")
 
 
 _add("token_count_bpe", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", token_count(s, F.col("text")).alias("tokens")))
 _add("token_cost", lambda s, d: _entries(s, d).select("relative_path", "tokens", "cost"), f"SELECT relative_path, {_COST} AS tokens, {_COST} + 30 AS cost FROM {_sql_files('documents')}")
-_add("sort_largest_first", lambda s, d: packing.ranked(_entries(s, d)).select("rank", "relative_path", "length"), f"SELECT rank, relative_path, length FROM {_RANKED}")
-_add("max_tokens_cut", lambda s, d: packing.within_budget(packing.ranked(_entries(s, d)), MAX).select("relative_path", "rank", "cost", "prev"), f"SELECT relative_path, rank, cost, CAST(prev AS BIGINT) AS prev FROM {_RANKED} WHERE rank = 1 OR prev <= {MAX}")
+_add("sort_largest_first", lambda s, d: _narrow(s, d).select("rank", "relative_path", "length"), f"SELECT rank, relative_path, length FROM {_RANKED}")
+_add("max_tokens_cut", lambda s, d: packing.within_budget(_narrow(s, d), MAX).select("relative_path", "rank", "cost", "prev"), f"SELECT relative_path, rank, cost, CAST(prev AS BIGINT) AS prev FROM {_RANKED} WHERE rank = 1 OR prev <= {MAX}")
 _add("split_parts", lambda s, d: _parted(s, d).select("relative_path", "rank", "cost", "part"), _PARTED + "SELECT relative_path, rank, cost, part FROM parted")
 _add("part_totals", lambda s, d: packing.part_totals(_parted(s, d)), _PARTED + "SELECT part, CAST(sum(cost) AS BIGINT) AS part_tokens, count(*) AS entries FROM parted GROUP BY part")
-_add("top5_tokens", lambda s, d: packing.top_tokens(packing.ranked(_entries(s, d))), f"SELECT relative_path, tokens FROM {_RANKED} ORDER BY tokens DESC, rank LIMIT 5")
-_add("stats", lambda s, d: packing.totals(packing.within_budget(packing.ranked(_entries(s, d)), MAX)), f"SELECT CAST(sum(cost) AS BIGINT) AS total_tokens, count(*) AS processed_files FROM {_RANKED} WHERE rank = 1 OR prev <= {MAX}")
+_add("top5_tokens", lambda s, d: packing.top_tokens(_narrow(s, d)), f"SELECT relative_path, tokens FROM {_RANKED} ORDER BY tokens DESC, rank LIMIT 5")
+_add("stats", lambda s, d: packing.totals(packing.within_budget(_narrow(s, d), MAX)), f"SELECT CAST(sum(cost) AS BIGINT) AS total_tokens, count(*) AS processed_files FROM {_RANKED} WHERE rank = 1 OR prev <= {MAX}")
 
 # Rendering.
 
@@ -312,7 +321,7 @@ _ENTRY_SQL = "'<file path=\"' || relative_path || '\">' || chr(10) || content ||
 _with_entry = lambda df: df.withColumn("entry", render.entry(F.col("relative_path"), F.col("content")))
 _add("token_label", lambda s, d: _entries(s, d).select("relative_path", tx.token_label(F.col("tokens")).alias("label"), tx.token_label(F.col("tokens") * 500).alias("label_500")), f"SELECT relative_path, {_LABEL_SQL.format(n='tokens')} AS label, {_LABEL_SQL.format(n='(tokens * 500)')} AS label_500 FROM {_RANKED}")
 _add("render_entry", lambda s, d: _with_entry(table_files(s, d)).select("relative_path", "entry"), f"SELECT relative_path, {_ENTRY_SQL} AS entry FROM {_sql_files()}")
-_add("render_parts", lambda s, d: render.part_texts(_with_entry(_parted(s, d))), _PARTED + f"SELECT part, string_agg({_ENTRY_SQL}, '' ORDER BY rank) AS part_text FROM parted GROUP BY part")
+_add("render_parts", lambda s, d: render.part_texts(_with_entry(_parted_texts(s, d))), _PARTED + f"SELECT part, string_agg({_ENTRY_SQL}, '' ORDER BY rank) AS part_text FROM parted GROUP BY part")
 _add(
     "part_file_names",
     lambda s, d: render.part_file_names(packing.part_totals(_parted(s, d)), "corpus").select("part", "file_name"),
@@ -329,7 +338,9 @@ def _packed_pages(s: SparkSession, d: str, self_closing: bool = True) -> DataFra
     from tessera.plans.engine import prepared
 
     files = filters.collect_files(table_files(s, d, "pages"), PAGES, resolve(PAGES), ())
-    return _with_entry(packing.within_budget(packing.ranked(prepared(s, files, PAGES, self_closing)), PAGES.max_tokens))
+    done = prepared(s, files, PAGES, self_closing)
+    chosen = packing.within_budget(packing.ranked(done.select("relative_path", "length", "tokens", "cost")), PAGES.max_tokens)
+    return _with_entry(chosen.join(done.select("relative_path", "content"), "relative_path"))
 
 
 _PACKED_SQL = (

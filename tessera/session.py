@@ -1,11 +1,12 @@
-"""What a session needs before Python runs on executors."""
+"""What a session needs before Python runs on executors, and tables that stages leave in the shared folder."""
 
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reach(spark: SparkSession) -> SparkSession:
@@ -17,3 +18,28 @@ def reach(spark: SparkSession) -> SparkSession:
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where that is unset
+    (tests on one machine) a local one is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints/tessera")
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/tessera-{what}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written once to the shared folder and read back: lineage ends there, and a lost executor costs no recomputation."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
