@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import reach
+from tessera.session import reach, scratch, shared_dir, stored
+
+__all__ = ["BROADCAST_KEYS", "fold", "reach", "scratch", "shared_dir", "sized", "stored", "table", "without"]
 
 #: Keys that may be broadcast: at 8 bytes a key and Spark's hash relation, under about 30 MB. Beyond it a join shuffles.
 BROADCAST_KEYS = 500_000
@@ -17,33 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reach(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where that is unset
-    (tests on one machine) a local one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file:///tmp/checkpoints/tessera"
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/tessera-{what}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written once to the shared folder and read back: lineage ends there, and a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
