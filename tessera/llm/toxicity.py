@@ -8,6 +8,7 @@ so is the decision, and each word's share is worked out once and remembered.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import combinations
@@ -23,7 +24,7 @@ from tessera.llm.common import fold, table
 #: Length of subsequences, decay of each letter they span.
 ORDER, DECAY = 3, np.float32(0.8)
 #: Landmarks of either kind; labelled documents of either label that training takes at most, their longest text.
-LANDMARKS, PER_LABEL, LONGEST = 32, 1500, 12_000
+LANDMARKS, PER_LABEL, LONGEST = 32, 1000, 8_000
 #: Words that landmarks are picked from, and landmarks of the label that a toxic document should hold.
 CANDIDATES, COVER = 2000, 3
 #: Symbols of words: a-z from 1, five classes of other letters and digits, START before each word.
@@ -158,8 +159,8 @@ def windows(word: str) -> list[str]:
 @dataclass
 class Model:
     """A sentence's margin is the sum of its words' shares, plus bias. A document's probability is a logistic curve of its
-    two largest margins, of whether the first is clearly over 0.5, of its rate (what its sentences have over a margin of -1,
-    for every 20 words) and of its length."""
+    two largest margins, of whether the first is clearly over 0.5, and of its rate: what its sentences have over a margin of
+    -1, for every 20 words."""
 
     landmarks: Landmarks | None
     beta: np.ndarray
@@ -189,10 +190,10 @@ class Model:
             self.shares[t] = complex(value.get(w, 0.0), ends(t) + 2 * (len(w) == 1))
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Of each text: largest margin, whether it is a clear one, the next largest, rate, logarithm of its length."""
+        """Of each text: largest margin, whether it is a clear one, the next largest, rate."""
         split = [t.lower().split() for t in texts]
         self.learn({w for tokens in split for w in tokens})
-        get, out, over = self.shares.__getitem__, np.zeros((len(texts), 5)), self.bias + 1
+        get, out, over = self.shares.__getitem__, np.zeros((len(texts), 4)), self.bias + 1
         for k, tokens in enumerate(split):
             sums = np.zeros(1)
             if tokens:
@@ -209,7 +210,7 @@ class Model:
             top = self.bias + max(0.0, float(sums.max()))
             second = self.bias + max(0.0, float(np.partition(sums, -2)[-2])) if len(sums) > 1 else top
             rate = np.maximum(sums + over, 0).sum() * 20 / max(20, len(tokens))
-            out[k] = top, 1 / (1 + np.exp(-CLEAR * min(max(top - 0.5, -5), 5))), second, rate, np.log1p(len(tokens))
+            out[k] = top, 1 / (1 + np.exp(-CLEAR * min(max(top - 0.5, -5), 5))), second, rate
         return out
 
     def probability(self, features: np.ndarray) -> np.ndarray:
@@ -259,19 +260,24 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _never(share: float) -> Model:
     """For want of labels of both kinds, or of any word tied to them: one score for all."""
-    return Model(None, np.zeros(0, dtype=np.float32), 0.0, np.array([0.0, 0.0, 0.0, 0.0, 0.0, np.log(max(share, 1e-3) / max(1 - share, 1e-3))]))
+    return Model(None, np.zeros(0, dtype=np.float32), 0.0, np.array([0.0, 0.0, 0.0, 0.0, np.log(max(share, 1e-3) / max(1 - share, 1e-3))]))
 
 
 def landmark_words(split: list[list[list[str]]], toxic: list[int]) -> list[str]:
     """Words and beginnings of words most tied to the label (log likelihood ratio of the documents they are in that don't
     hold COVER earlier ones yet)."""
     n1, n0 = sum(toxic), len(toxic) - sum(toxic)
-    where: dict[str, list[list[int]]] = {}
-    for d, (label, text) in enumerate(zip(toxic, split, strict=True)):
+
+    def units(text: list[list[str]]) -> set[str]:
         words = {letters(w)[:WINDOW] for s in text for w in s}
-        for w in words | {w[:k] for w in words for k in range(4, 8)}:
-            if len(w) >= ORDER:
-                where.setdefault(w, [[], []])[label].append(d)
+        return {w for w in words | {w[:k] for w in words for k in range(4, 8)} if len(w) >= ORDER}
+
+    often = Counter(u for label, text in zip(toxic, split, strict=True) if label for u in units(text))
+    where: dict[str, list[list[int]]] = {u: [[], []] for u, n in often.items() if n >= 3}  # others can't be landmarks
+    del often
+    for d, (label, text) in enumerate(zip(toxic, split, strict=True)):
+        for u in units(text) & where.keys():
+            where[u][label].append(d)
 
     def tied(a: int, b: int) -> float:
         rate = (a + b) / (n1 + n0)
@@ -327,7 +333,7 @@ def train(texts: list[str], toxic: list[int], share: float | None = None) -> Mod
         margin = features @ w[:-1] + w[-1]
         most = pd.Series(margin).groupby(doc).transform("max").to_numpy()
         positive = ~clean & ((margin > 0) | ((margin == most) & (margin > -0.8)))
-    model = Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]), np.zeros(6))
+    model = Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]), np.zeros(5))
     model.curve = _logistic(model.features(texts), y)
     if share is not None and 0 < share < 1:
         model.curve[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
