@@ -244,18 +244,25 @@ def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights and offset of a logistic curve, with Platt's targets so that separable labels don't run away."""
+    """Weights, none negative, and offset of a logistic curve, with Platt's targets so that separable labels don't run away.
+    A feature whose weight would be negative is left out, so that more evidence never lowers a score."""
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     x = np.hstack((x, np.ones((len(x), 1))))
-    w = np.zeros(x.shape[1])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w))
-        step = np.linalg.solve(curve, x.T @ (p - target) + 1e-4 * w)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return w
+    used = np.ones(x.shape[1], dtype=bool)
+    while True:
+        part, w = x[:, used], np.zeros(int(used.sum()))
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            curve = (part * (p * (1 - p))[:, None]).T @ part + 1e-4 * np.eye(len(w))
+            step = np.linalg.solve(curve, part.T @ (p - target) + 1e-4 * w)
+            w -= np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-9:
+                break
+        out = np.zeros(x.shape[1])
+        out[used] = w
+        if out[:-1].min(initial=0.0) >= 0:
+            return out
+        used[int(np.argmin(out[:-1]))] = False
 
 
 def _never(share: float) -> Model:
