@@ -79,7 +79,7 @@ def brute_groups(prints, radius):
         changed = False
         for i in ids:
             for j in ids:
-                if low[j] < low[i] and bin(prints[i] ^ prints[j]).count("1") <= radius:
+                if low[j] < low[i] and (prints[i] ^ prints[j]).bit_count() <= radius:
                     low[i], changed = low[j], True
     return low
 

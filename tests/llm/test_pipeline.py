@@ -10,7 +10,8 @@ from tests.llm.test_packing import check
 from tessera.llm import language, toxicity
 
 
-def test_stages_and_run(spark, sf_dir):
+def test_stages_and_run(spark):
+    sf_dir = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.trained(docs, labels)
