@@ -24,13 +24,13 @@ from tessera.llm.common import fold, table
 #: Length of subsequences, decay of each letter they span.
 ORDER, DECAY = 3, np.float32(0.8)
 #: Landmarks of either kind; labelled documents of either label that training takes at most, their longest text.
-LANDMARKS, PER_LABEL, LONGEST = 32, 1000, 8_000
+LANDMARKS, PER_LABEL, LONGEST = 32, 800, 6_000
 #: Words that landmarks are picked from, and landmarks of the label that a toxic document should hold.
 CANDIDATES, COVER = 2000, 3
 #: Symbols of words: a-z from 1, five classes of other letters and digits, START before each word.
 SYMBOLS, START = 33, 32
 #: Longest window of a word, longest run of words taken as a sentence, words remembered, characters scored at a time.
-WINDOW, SENTENCE, CACHE, CHUNK = 24, 16, 900_000, 1_000_000
+WINDOW, SENTENCE, CACHE, CHUNK = 24, 16, 500_000, 500_000
 THRESHOLD, CLEAR = 0.3, 10
 
 _NOT_LETTERS = re.compile(r"[\W_]+")
@@ -133,7 +133,7 @@ class Landmarks:
         for length, every in by_length.items():
             if length + 1 < ORDER:
                 continue
-            step = max(1, 2_000_000 // len(_places(length + 1)[1]))
+            step = max(1, 300_000 // len(_places(length + 1)[1]))
             for at in range(0, len(every), step):
                 part = np.array(every[at : at + step])
                 codes = _codes([words[k] for k in part])
