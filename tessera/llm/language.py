@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from tessera.llm.common import fold, table
 
 #: Components of a hypervector, symbols of the alphabet (a boundary, a-z, five classes of other letters), seed.
 DIM, SYMBOLS, SEED = 1024, 32, 7
-#: Documents of one language that its prototype is bundled from; languages that are learned (the most frequent).
+#: Documents of one language, about, that its prototype is bundled from; languages that are learned (the most frequent).
 PER_LANGUAGE, LANGUAGES = 1500, 256
 UNKNOWN = "und"
 #: Characters counted at a time.
@@ -69,14 +69,14 @@ def profile(text: str | None) -> np.ndarray | None:
 
 
 def prototypes(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
-    """Each language's prototype: the bundle of the unit profiles of up to per_language of docs(doc_id, text, lang), those
-    with the smallest hash of their id. Rows without a language don't count. What reaches the driver is one vector a
-    language and task, for at most LANGUAGES languages."""
+    """Each language's prototype: the bundle of the unit profiles of about per_language of docs(doc_id, text, lang): those
+    whose id has a hash in the share per_language / count of all hashes; all, if there are fewer. Rows without a language
+    don't count. Nothing is dealt by language. What reaches the driver is one vector a language and task, for at most
+    LANGUAGES languages."""
     known = docs.where("lang is not null and doc_id is not null")
-    common = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = known.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn("n", F.row_number().over(order))
-    chosen = ranked.where(F.col("n") <= per_language).select("doc_id", "lang").distinct()
+    common = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES)
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("count") < F.lit(per_language << 20)
+    chosen = known.join(F.broadcast(common), "lang").where(share)
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -87,7 +87,7 @@ def prototypes(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, n
         if sums:
             yield pd.DataFrame({"lang": list(sums), "bundle": [v.astype(np.float64).tolist() for v in sums.values()]})
 
-    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInPandas(bundle, "lang string, bundle array<double>")
+    rows = chosen.select("lang", "text").mapInPandas(bundle, "lang string, bundle array<double>")
     sums: dict[str, np.ndarray] = {}
     for row in sorted(rows.toLocalIterator(), key=lambda r: (r.lang, r.bundle)):
         sums[row.lang] = sums.get(row.lang, 0) + np.array(row.bundle)
