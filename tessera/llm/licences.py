@@ -50,7 +50,8 @@ def licence_scan(files: DataFrame, templates: dict[str, str] | None = None, thre
     rows = files.select("path", F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"), F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)).alias("is_licence"), F.coalesce("text", F.lit("")).alias("text"))
     lines = F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: F.lower(x).rlike(CUE))
     headers = F.array_distinct(F.when(F.col("is_licence"), F.concat(lines, F.array("text"))).otherwise(lines))
-    found = rows.select("path", "dir", "is_licence", headers.alias("headers")).where(F.size("headers") > 0)
+    rows = stored(rows.select("path", "dir", "is_licence", headers.alias("headers")), "files")  # the only pass over the texts
+    found = rows.where(F.size("headers") > 0)
     found = stored(found.select("path", "dir", "is_licence", F.explode("headers").alias("header")).withColumn("id", F.sha2(F.col("header").cast("binary"), 256)), "headers")
 
     units = found.groupBy("id").agg(F.first("header").alias("header"), F.count(F.lit(1)).alias("n"))
