@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored, table
 
 #: Characters of a chunk; longer documents are giant ones. Words remembered by a worker, their longest.
-CHUNK, CACHE, LONG = 65_536, 800_000, 64
+CHUNK, CACHE, LONG = 65_536, 500_000, 64
 SPACE, NEVER = "▁", -np.inf
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _EDGE = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
