@@ -1,8 +1,9 @@
-"""Near duplicates by SimHash: blocks of equal bits propose pairs, pivot distance tables discard them, bits decide."""
+"""Near duplicates. By SimHash: blocks of equal bits propose pairs, pivot distance tables discard them, bits decide. By
+similarity of shingle sets: shared rare shingles propose pairs, sizes and parity sketches discard them, the sets decide."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import stored, table, without
+from tessera.llm.common import sized, stored, table, without
 from tessera.llm.components import components
 
 BITS, SEED = 64, 42
@@ -22,20 +23,29 @@ PIVOTS = np.array([xxhash.xxh64_intdigest(k.to_bytes(8, "little"), SEED) for k i
 TILE = 8192
 #: Shingles whose bits are summed at a time.
 STEP = 1 << 14
+#: Least share of common shingles in all shingles of two near copies, as a fraction.
+ALIKE, OF = 4, 5
+#: Bits of a parity sketch; documents sampled to find common shingles, and common shingles that are kept.
+SKETCH, SAMPLED, COMMON = 512, 10_000, 100_000
 
 
-def simhash(text: str | None, words: int) -> int:
-    """Bit k is 1 if set in over half of the hashes of the shingles, repeats included; 0 for a text without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """A hash of each run of so many words, repeats included; of all words if there are fewer."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and white space of ASCII
     if not found:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     size = min(words, len(found))
     spans = zip(starts[: len(found) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(found) - size + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(found) - size + 1)
+
+
+def simhash(text: str | None, words: int) -> int:
+    """Bit k is 1 if set in over half of the hashes of the shingles, repeats included; 0 for a text without words."""
+    hashes = shingle_hashes(text, words)
     ones = np.zeros(BITS, dtype=np.int64)
     for k in range(0, len(hashes), STEP):
         part = np.unpackbits(hashes[k : k + STEP].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -101,7 +111,7 @@ def star_links(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, radius: in
     return np.concatenate(links_a), np.concatenate(links_b)
 
 
-def _link_batches(radius: int):
+def _by_tile(found: Callable[[np.ndarray, pd.DataFrame], tuple[np.ndarray, np.ndarray]]):
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sorted by key and tile. The last key of a batch waits for the next; a key in one tile has a bounded number of rows."""
         held: pd.DataFrame | None = None
@@ -109,7 +119,7 @@ def _link_batches(radius: int):
         def done(pdf: pd.DataFrame) -> pd.DataFrame:
             key, tile = pdf.key.to_numpy(), pdf.tile.to_numpy()
             starts = np.concatenate(([True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])))
-            a, b = star_links(np.cumsum(starts), pdf.print.to_numpy().view(np.uint64), pdf.id.to_numpy(), radius)
+            a, b = found(np.cumsum(starts), pdf)
             return pd.DataFrame({"a": a, "b": b})
 
         for pdf in batches:
@@ -127,6 +137,21 @@ def _link_batches(radius: int):
     return link
 
 
+def tiles(keyed: DataFrame, by: str) -> DataFrame:
+    """keyed(key, ...) with tile, dealt and sorted by key and tile: keys with over TILE rows are cut into parts by the
+    column `by`, and each pair of parts is a tile of its own."""
+    counts = stored(keyed.groupBy("key").count().where(F.col("count") > TILE), "hot_keys")
+    if counts.isEmpty():
+        tiled = keyed.withColumn("tile", F.lit(0))
+    else:
+        parts = counts.select("key", F.ceil(F.col("count") / TILE * 2).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64(by), F.col("parts")).cast("int")
+        tiled = keyed.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part)
+        others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, "part") * F.col("parts") + F.greatest(o, "part"))
+        tiled = tiled.select(*keyed.columns, F.explode(others).alias("tile"))
+    return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile")
+
+
 def near_links(prints: DataFrame, radius: int) -> DataFrame:
     """prints(print, id): different fingerprints, each with its id. Returns links (a, b) of ids that connect what all
     pairs within radius bits connect.
@@ -141,17 +166,7 @@ def near_links(prints: DataFrame, radius: int) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     key = F.array(*[F.xxhash64(F.lit(n), F.col("print").bitwiseAND(F.lit(m))) for n, m in enumerate(signed)])
     keyed = prints.select("print", "id", F.explode(key).alias("key"))
-    counts = stored(keyed.groupBy("key").count().where(F.col("count") > TILE), "hot_keys")
-    if counts.isEmpty():
-        tiled = keyed.withColumn("tile", F.lit(0))
-    else:
-        parts = counts.select("key", F.ceil(F.col("count") / TILE * 2).cast("int").alias("parts"))
-        part = F.pmod(F.xxhash64("print"), F.col("parts")).cast("int")
-        tiled = keyed.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part)
-        others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, "part") * F.col("parts") + F.greatest(o, "part"))
-        tiled = tiled.select("print", "id", "key", F.explode(others).alias("tile"))
-    dealt = tiled.select("key", "tile", "print", "id").repartition("key", "tile").sortWithinPartitions("key", "tile")
-    return dealt.mapInPandas(_link_batches(radius), "a long, b long")
+    return tiles(keyed, "print").mapInPandas(_by_tile(lambda n, pdf: star_links(n, pdf.print.to_numpy().view(np.uint64), pdf.id.to_numpy(), radius)), "a long, b long")
 
 
 def near_groups(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
@@ -168,11 +183,151 @@ def near_groups(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
     return rows.join(low, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
-    """docs with one row of each group: the smallest doc_id. All columns stay; rows with a null doc_id stay.
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Different hashes in order; texts without words have one set, which no other text has."""
+    found = np.unique(shingle_hashes(text, words))
+    return found if len(found) else np.zeros(1, dtype=np.uint64)
+
+
+def prefix(found: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first of a set's hashes in an order that all sets share, rare ones first: so many that two near copies have
+    one of them in common. times: how often each hash of common (sorted) was seen."""
+    size = len(found) - (ALIKE * len(found) + OF - 1) // OF + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        found = found[np.lexsort((found, np.where(common[at] == found, times[at], 0)))]
+    return found[:size]
+
 
-    Six bits of 64 stand for an angle with a cosine of about 0.96 between the counts of shingles."""
-    groups = stored(near_groups(docs.select("doc_id", "text"), words, radius), "near_groups")
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Whether the number of hashes that fall in each of SKETCH places is odd. Two sketches differ in no more bits than
+    their sets have hashes that the other lacks."""
+    return np.packbits(np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64)
+
+
+def possible_pairs(keys: np.ndarray, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids within each key, in different components, that sizes and sketches leave as possible near copies."""
+    order = np.lexsort((pdf["size"].to_numpy(), keys))
+    keys, size, ids, comp = keys[order], pdf["size"].to_numpy()[order].astype(np.int64), pdf.id.to_numpy()[order], pdf.comp.to_numpy()[order]
+    bits = np.stack(pdf.sketch.to_numpy())[order] if len(pdf) else np.zeros((0, 1), dtype=np.int64)
+    left, found_a, found_b = np.arange(len(keys)), [], []
+    step = 1
+    while len(left):
+        left = left[left < len(keys) - step]
+        right = left + step
+        left = left[(keys[left] == keys[right]) & (ALIKE * size[right] <= OF * size[left])]  # sizes only grow
+        right = left + step
+        other = comp[left] != comp[right]
+        a, b = left[other], right[other]
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        kept = (OF + ALIKE) * apart <= (OF - ALIKE) * (size[a] + size[b])
+        found_a.append(ids[a[kept]])
+        found_b.append(ids[b[kept]])
+        step += 1
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(found_a or none), np.concatenate(found_b or none)
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes seen in two or more of about SAMPLED documents (the most frequent COMMON of them), sorted, and how often.
+    They only make the order of prefixes a good one; whatever they are, no pair is lost."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts])
+
+    every = max(1, docs.count() // SAMPLED)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.explode(hashes("text")).alias("hash"))
+    seen = some.groupBy("hash").count().where("count > 1").orderBy(F.desc("count"), "hash").limit(COMMON).toPandas()
+    common, times = seen["hash"].to_numpy(dtype=np.int64).view(np.uint64), seen["count"].to_numpy(dtype=np.int64)
+    order = np.argsort(common)
+    return common[order], times[order]
+
+
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) of ids of nodes(id, size, sketch) that sizes and sketches leave as possible near copies."""
+    for n in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("id").alias(n), F.struct("size", "sketch").alias(f"of_{n}")), n)
+    bits = F.zip_with("of_a.sketch", "of_b.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    sizes, apart = [F.col("of_a.size"), F.col("of_b.size")], F.aggregate(bits, F.lit(0), lambda n, x: n + x)
+    pairs = pairs.where(ALIKE * F.greatest(*sizes) <= OF * F.least(*sizes))
+    return pairs.where((OF + ALIKE) * apart <= (OF - ALIKE) * (sizes[0] + sizes[1])).select("a", "b")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Those of pairs(a, b) of doc_ids whose sets are alike, by the sets themselves. Only texts in some pair are cut."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _slices(batches):
+            yield pd.DataFrame({"id": pdf.doc_id, "set": [shingle_set(t, words).view(np.int64) for t in pdf.text]})
+
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair_ids")
+    sets = stored(docs.select("doc_id", "text").join(sized(ids), "doc_id").mapInPandas(cut, "id long, set array<long>"), "cut")
+    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    found = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(OF * both >= ALIKE * (F.size("x") + F.size("y") - both))
+    return stored(found.select("a", "b"), "verified")
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A few hundred rows at a time, so that what is made of them stays small."""
+    for pdf in batches:
+        for at in range(0, len(pdf), 256):
+            yield pdf.iloc[at : at + 256]
+
+
+def alike_groups(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable over pairs with a Jaccard similarity of ALIKE / OF or more of
+    their sets of shingles) for each row of docs(doc_id, text) with a doc_id.
+
+    No pair is lost: near copies share a shingle among the rarest few of each (`prefix`). Equal sets count as one node. For
+    each shared shingle a star is verified first, so that large groups hang together; then all pairs that are in different
+    components still, less those that sizes and sketches rule out, are verified. Shingles with many documents are dealt out
+    in tiles."""
+    docs = docs.where("doc_id is not null")
+    common, times = common_shingles(docs, words)
+    sent = docs.sparkSession.sparkContext.broadcast((common, times))
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _slices(batches):
+            sets = [shingle_set(t, words) for t in pdf.text]
+            yield pd.DataFrame(
+                {
+                    "id": pdf.doc_id,
+                    "size": [len(x) for x in sets],
+                    "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets],
+                    "sketch": [sketch(x) for x in sets],
+                    "keys": [prefix(x, *sent.value).view(np.int64) for x in sets],
+                }
+            )
+
+    rows = stored(docs.select("doc_id", "text").mapInPandas(describe, "id long, size int, digest binary, sketch array<long>, keys array<long>"), "shingled")
+    first = rows.groupBy("digest").agg(F.min("id").alias("id"))
+    nodes = stored(rows.join(first, ["digest", "id"]).dropDuplicates(["digest"]).select("digest", "id", "size", "sketch", "keys"), "sets")
+    keyed = nodes.select("id", F.explode("keys").alias("key"))
+    seen = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).where("n > 1").drop("n"), "shared_keys")
+    shared = stored(keyed.join(sized(seen), "key").select("key", "id", "low"), "shared")
+    stars = shared.where("id <> low").groupBy("id", "low").count().groupBy("id")
+    stars = stars.agg(F.array(F.max(F.struct("count", "low")).low, F.min("low"), F.max("low")).alias("lows"))
+    stars = stored(stars.select(F.explode(F.array_distinct("lows")).alias("a"), F.col("id").alias("b")), "stars")
+    stars = stored(possible(stars, nodes), "possible")
+    links = verified(docs, stars, words)
+    group = components(links)
+    placed = shared.join(group, shared.id == group.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    placed = stored(placed, "placed")
+    mixed = stored(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "mixed")
+    met = placed.join(sized(mixed), "key").join(nodes.select("id", "size", "sketch"), "id").select("key", "id", "comp", "size", "sketch")
+    pairs = tiles(met, "id").mapInPandas(_by_tile(possible_pairs), "a long, b long")
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    more = verified(docs, pairs.join(stars, ["a", "b"], "left_anti"), words)
+    group = components(links.union(more))
+    low = nodes.join(group, nodes.id == group.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    return rows.join(low, "digest").select(F.col("id").alias("doc_id"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+    """docs with one row of each group of near copies: the smallest doc_id. All columns stay; rows with a null doc_id stay."""
+    groups = stored(alike_groups(docs.select("doc_id", "text"), words), "near_groups")
     return without(docs, groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id")
 
 

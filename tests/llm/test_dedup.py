@@ -144,3 +144,61 @@ def test_near_query_against_brute_force(spark, sf_dir):
     want = brute_groups(prints, 4)
     got = s.op9_simhash(spark, sf_dir).collect()
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((i, f"{prints[i]:016x}", want[i]) for i in docs)
+
+
+def brute_shingles(text, words=5):
+    found = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    return {" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))}
+
+
+def brute_alike(docs, least=0.8):
+    """Smallest id that each id reaches over pairs with that Jaccard similarity."""
+    sets = {i: brute_shingles(x) for i, x in docs.items()}
+    low = {i: i for i in sets}
+    pairs = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in pairs:
+            low[i] = low[j] = min(low[i], low[j])
+    return low
+
+
+@pytest.mark.parametrize("tile, common", [(8192, 100_000), (4, 100_000), (8192, 0)])
+def test_near_copies_from_eight_to_nine_tenths_go(spark, monkeypatch, tile, common):
+    monkeypatch.setattr(s, "TILE", tile)
+    monkeypatch.setattr(s, "COMMON", common)
+    rng = np.random.default_rng(8)
+    passage, docs = [f"common{k}" for k in range(60)], {}
+    for base in range(30):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 200)] + passage * (base % 3 == 0)
+        docs[len(docs)] = " ".join(words)
+        for edits in (3, 4, 5, 6, 8):  # the similarity of the last is under 0.8
+            other = list(words)
+            for k in range(edits):
+                other[15 + k * 20] = f"new{rng.integers(10**6)}"
+            docs[len(docs)] = " ".join(other)
+    sets = {i: brute_shingles(x) for i, x in docs.items()}
+    shares = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(0, len(docs), 6) for j in range(i + 1, i + 5)]
+    far = [(s.simhash(docs[i], 5) ^ s.simhash(docs[j], 5)).bit_count() for i in range(0, len(docs), 6) for j in range(i + 1, i + 5)]
+    assert sum(0.8 <= x < 0.9 for x in shares) > 60 and sum(x >= 0.8 and n > 6 for x, n in zip(shares, far, strict=True)) > 10
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs.items()], DOCS)
+    want = brute_alike(docs)
+    assert {r.doc_id: r.component_id for r in s.alike_groups(df).collect()} == want
+    assert sorted(r.doc_id for r in s.keep_one(df).collect()) == sorted(set(want.values()))
+
+
+def test_few_bits_without_common_shingles_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sets = {i: brute_shingles(x) for i, x in texts.items()}
+    got = {r.doc_id: r.component_id for r in s.alike_groups(docs).collect()}
+    want = {i: i for i in sets}
+    where = {}
+    for i, found in sets.items():
+        for x in found:
+            where.setdefault(x, set()).add(i)
+    pairs = {(i, j) for found in where.values() for i in found for j in found if i < j}
+    pairs = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(50):
+        for i, j in pairs:
+            want[i] = want[j] = min(want[i], want[j])
+    assert got == want and len(set(got.values())) < len(got)
