@@ -188,9 +188,9 @@ FRAMES = {
     "yml": _frame("# head", "  key: v  ", "", "", "", "   # tail", "=text", "", ""),
     "cs": _frame(
         "using A.B;", "using static X.Y;", "using Z = A.B;", "namespace N {", "    #region r", "    // c", '    string s = "a // b", t = @"c "" /* d";', "    /* e",
-        "    f */ public int P {  get;  set; } = this.x ;", "    #endregion", "    [Obsolete(1)] [Foo] int Q { get ; }", "}", "=concat('// ', split_part(text, chr(10), 1))", "", "", "", "int last ;",
+        "    f */ public int P {  get;  set; } = this.x ;", "    #endregion", "    [Obsolete(1)] [Foo] int Q { get ; }", "}", "=concat('// ', replace(text, chr(10), concat(chr(10), '// ')))", "", "", "", "int last ;",
     ),
-    "cs_flat": _frame("namespace A.B.C;", "", "[assembly: SuppressMessage(1)]", "class D  { string s = $\"x {  1 }\" ; } // e", "=concat('// ', split_part(text, chr(10), 1))"),
+    "cs_flat": _frame("namespace A.B.C;", "", "[assembly: SuppressMessage(1)]", "class D  { string s = $\"x {  1 }\" ; } // e", "=concat('// ', replace(text, chr(10), concat(chr(10), '// ')))"),
 }
 
 

@@ -22,3 +22,10 @@ def test_entry_has_rows(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("frame", ["cs", "cs_flat"])
+def test_frames_hold_every_line_of_the_text(spark, sf_dir, frame):
+    framed = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("text", f"{q.FRAMES[frame]} AS framed").collect()
+    assert any("\n" in r.text for r in framed)
+    assert all(line in r.framed for r in framed for line in r.text.split("\n"))
