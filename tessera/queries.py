@@ -183,7 +183,7 @@ FRAMES = {
     "css": _frame("/* c */", ".a , .b { color : red ; }", "=concat('/* ', text, ' */', ' .c :hover { margin : 0 , 1 ; }')"),
     "js": _frame("// c", 'var u = "http://h" ; ///d', "if ( a ) {  b ( 1 , 2 ) ; }  //", "=concat('/* ', text, ' */ x = [ 1 , 2 ]')"),
     "razor": _frame("<!-- a --><div>  <b>x</b>", "@* c *@ // d", "  @( x ) y </div>", " ", " ", "", "=concat('<p>/* ', text, ' */</p>')"),
-    "xml": _frame('<?xml version="1.0"?>', "<d>", "=concat('  <t a=\"1\">', cast(doc_id as string), '</t>  <!-- ', lang, ' -->')", "</d>"),
+    "xml": _frame('<?xml version="1.0"?>', "<d>", "=concat('  <t a=\"1\">', cast(doc_id as string), '</t>  <!-- ', lang, ' -->')", "=concat('  <p>  ', text, '  </p>  <!-- ', text, ' -->')", "</d>"),
     "md": _frame("<!-- h -->", "Title", "=====", "", "  | a  | b |  ", "---", '[x](http://y "t")', "=text", "***", "Low", "---", "", "", "", "end  ", ""),
     "yml": _frame("# head", "  key: v  ", "", "", "", "   # tail", "=text", "", ""),
     "cs": _frame(

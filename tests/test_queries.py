@@ -24,7 +24,7 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("frame", ["cs", "cs_flat"])
+@pytest.mark.parametrize("frame", ["cs", "cs_flat", "xml"])
 def test_frames_hold_every_line_of_the_text(spark, sf_dir, frame):
     framed = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("text", f"{q.FRAMES[frame]} AS framed").collect()
     assert any("\n" in r.text for r in framed)
