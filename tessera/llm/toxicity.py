@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import combinations
@@ -23,8 +24,8 @@ from tessera.llm.common import fold, table
 
 #: Length of subsequences, decay of each letter they span.
 ORDER, DECAY = 3, np.float32(0.8)
-#: Landmarks of either kind; labelled documents of either label that training takes at most, their longest text.
-LANDMARKS, PER_LABEL, LONGEST = 32, 800, 6_000
+#: Landmarks; labelled documents of either label that training takes at most, with whole texts.
+LANDMARKS, PER_LABEL = 32, 2000
 #: Words that landmarks are picked from, and landmarks of the label that a toxic document should hold.
 CANDIDATES, COVER = 2000, 3
 #: Symbols of words: a-z from 1, five classes of other letters and digits, START before each word.
@@ -156,6 +157,18 @@ def windows(word: str) -> list[str]:
     return [word[k : k + WINDOW] for k in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
+def chunks(texts: list[str | None]) -> Iterator[list[str]]:
+    """Texts in order, about CHUNK characters at a time; at least one list."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    yield held
+
+
 @dataclass
 class Model:
     """A sentence's margin is the sum of its words' shares, plus bias. A document's probability is a logistic curve of its
@@ -217,14 +230,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        out, held, size = [], [], 0
-        for text in texts:
-            held.append(text or "")
-            size += len(held[-1])
-            if size >= CHUNK:
-                out.append(self.features(held))
-                held, size = [], 0
-        return self.probability(np.concatenate([*out, self.features(held)]))
+        return self.probability(np.concatenate([self.features(part) for part in chunks(texts)]))
 
 
 def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
@@ -270,21 +276,19 @@ def _never(share: float) -> Model:
     return Model(None, np.zeros(0, dtype=np.float32), 0.0, np.array([0.0, 0.0, 0.0, 0.0, np.log(max(share, 1e-3) / max(1 - share, 1e-3))]))
 
 
-def landmark_words(split: list[list[list[str]]], toxic: list[int]) -> list[str]:
+def landmark_words(texts: list[str], toxic: list[int]) -> list[str]:
     """Words and beginnings of words most tied to the label (log likelihood ratio of the documents they are in that don't
-    hold COVER earlier ones yet)."""
+    hold COVER earlier ones yet). Documents are cut into words one at a time and again in each pass, so that no more than
+    counts of words are held."""
     n1, n0 = sum(toxic), len(toxic) - sum(toxic)
 
-    def units(text: list[list[str]]) -> set[str]:
-        words = {letters(w)[:WINDOW] for s in text for w in s}
+    def units(text: str) -> set[str]:
+        words = {letters(w)[:WINDOW] for s in sentences(text) for w in s}
         return {w for w in words | {w[:k] for w in words for k in range(4, 8)} if len(w) >= ORDER}
 
-    often = Counter(u for label, text in zip(toxic, split, strict=True) if label for u in units(text))
-    where: dict[str, list[list[int]]] = {u: [[], []] for u, n in often.items() if n >= 3}  # others can't be landmarks
-    del often
-    for d, (label, text) in enumerate(zip(toxic, split, strict=True)):
-        for u in units(text) & where.keys():
-            where[u][label].append(d)
+    often = Counter(u for label, text in zip(toxic, texts, strict=True) if label for u in units(text))
+    often = {u: n for u, n in often.items() if n >= 3}  # others can't be landmarks
+    other = Counter(u for label, text in zip(toxic, texts, strict=True) if not label for u in units(text) & often.keys())
 
     def tied(a: int, b: int) -> float:
         rate = (a + b) / (n1 + n0)
@@ -292,20 +296,44 @@ def landmark_words(split: list[list[list[str]]], toxic: list[int]) -> list[str]:
             return 0.0
         return a * np.log(a / (n1 * rate)) + (b * np.log(b / (n0 * rate)) if b else 0.0)
 
-    ties = {w: t for w, (b, a) in where.items() if (t := tied(len(a), len(b))) >= 6}
+    ties = {w: t for w, n in often.items() if (t := tied(n, other[w])) >= 6}
     best = sorted(ties, key=lambda w: (-ties[w], -len(w), w))[:CANDIDATES]
+    where: dict[str, list[int]] = {w: [] for w in best}  # toxic documents
+    for d, (label, text) in enumerate(zip(toxic, texts, strict=True)):
+        for u in units(text) & where.keys() if label else ():
+            where[u].append(d)
     bad: list[str] = []
     todo = np.full(len(toxic), COVER)  # a document counts until COVER landmarks are in it
     while len(bad) < LANDMARKS and best:
-        value = [tied(int((todo[where[w][1]] > 0).sum()), len(where[w][0])) for w in best]
+        value = [tied(int((todo[where[w]] > 0).sum()), other[w]) for w in best]
         k = int(np.argmax(value))
         if value[k] < 6:
             break
-        todo[where[best[k]][1]] -= 1
+        todo[where[best[k]]] -= 1
         bad.append(best.pop(k))
     return bad
 
 
+def sentence_kernels(texts: list[str], landmarks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each sentence: its kernels with the landmarks, the largest of one word, the number of its text. Words are held for
+    some texts at a time."""
+    parts, before = [], 0
+    for some in chunks(texts):
+        split = [sentences(t) for t in some]
+        tokens = sorted({w for text in split for s in text for w in s})
+        if tokens:
+            place = {t: k for k, t in enumerate(tokens)}
+            shares = landmarks.kernels([letters(t)[:WINDOW] for t in tokens])
+            rows = [(d, [w for w, v in zip(s, ["", *s], strict=False) if w != v]) for d, text in enumerate(split, before) for s in text]
+            index = np.array([place[w] for _, s in rows for w in s])
+            first = np.concatenate(([0], np.cumsum([len(s) for _, s in rows])[:-1])).astype(np.int64)
+            near = np.maximum.reduceat(shares.max(axis=1)[index], first)
+            parts.append((np.add.reduceat(shares[index], first, axis=0), near, np.array([d for d, _ in rows])))
+        before += len(some)
+    x, near, doc = zip(*parts, strict=True)
+    return np.concatenate(x), np.concatenate(near), np.concatenate(doc)
+
+
 def train(texts: list[str], toxic: list[int], share: float | None = None) -> Model:
     """A model from labelled documents. Which sentences of a toxic document are toxic isn't known: first those near a
     landmark of the label count, then, twice, those that the machine itself finds, and each document's most suspect one.
@@ -313,21 +341,11 @@ def train(texts: list[str], toxic: list[int], share: float | None = None) -> Mod
     y = np.array(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return _never(float(y.mean()) if len(y) else 0.0)
-    split = [sentences(t) for t in texts]
-    words = landmark_words(split, toxic)
+    words = landmark_words(texts, toxic)
     if not words:
         return _never(float(y.mean()))
     landmarks = Landmarks(words)
-    tokens = sorted({w for text in split for s in text for w in s})
-    place = {t: k for k, t in enumerate(tokens)}
-    shares = landmarks.kernels([letters(t)[:WINDOW] for t in tokens])
-    rows = [(d, [w for w, v in zip(s, ["", *s], strict=False) if w != v]) for d, text in enumerate(split) for s in text]
-    lengths = np.array([len(s) for _, s in rows])
-    index = np.array([place[w] for _, s in rows for w in s])
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    x = np.add.reduceat(shares[index], first, axis=0)
-    near = np.maximum.reduceat(shares.max(axis=1)[index], first)
-    doc = np.array([d for d, _ in rows])
+    x, near, doc = sentence_kernels(texts, landmarks)
     values, vectors = np.linalg.eigh(landmarks.kernels(landmarks.words).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     features = x @ root
@@ -341,7 +359,8 @@ def train(texts: list[str], toxic: list[int], share: float | None = None) -> Mod
         most = pd.Series(margin).groupby(doc).transform("max").to_numpy()
         positive = ~clean & ((margin > 0) | ((margin == most) & (margin > -0.8)))
     model = Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]), np.zeros(5))
-    model.curve = _logistic(model.features(texts), y)
+    model.curve = _logistic(np.concatenate([model.features(part) for part in chunks(texts)])[: len(texts)], y)
+    model.shares.clear()
     if share is not None and 0 < share < 1:
         model.curve[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return model
@@ -349,15 +368,15 @@ def train(texts: list[str], toxic: list[int], share: float | None = None) -> Mod
 
 def sampled(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[list[str], list[int], float | None]:
     """Texts and labels to train on, and the share of toxic labels: of rows that aren't held out (crc32 of doc_id modulo 4
-    other than 2), the per_label of either label with the smallest hash of their id, texts over LONGEST characters left
-    out. At most 2 per_label ids and texts reach the driver; the share is of all rows that aren't held out."""
+    other than 2), the per_label of either label with the smallest hash of their id, with whole texts. At most 2 per_label
+    ids and texts reach the driver; the share is of all rows that aren't held out."""
     free = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "toxic")
     ids = None
     for label in (0, 1):
         part = free.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         ids = part if ids is None else ids.unionByName(part)
     chosen = ids.groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
     one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("toxic"))  # repeated ids count once
     found = sorted((r.doc_id, r.text, r.toxic) for r in one.collect())
     return [t for _, t, _ in found], [int(k) for _, _, k in found], free.agg(F.avg("toxic")).first()[0]

@@ -107,3 +107,13 @@ def test_odd_rows(spark):
     assert t.not_toxic(spark, nothing, marks).collect() == [] and t.not_toxic(spark, docs, marks.limit(0)).count() == docs.count()
     scored = docs.select(t.toxicity(spark, F.col("text"), t.trained(docs, marks)).alias("s")).collect()
     assert len(scored) == docs.count()
+
+
+def test_sample_holds_long_documents_whole(spark):
+    texts, labels = corpus(80, 6)
+    texts[0], texts[1] = "nitwit " * 4000, "anth onti " * 9000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    want = sorted((x, y) for k, (x, y) in enumerate(zip(texts, labels, strict=True)) if zlib.crc32(str(k).encode()) % 4 != 2)
+    found, toxic, _ = t.sampled(docs, marks)
+    assert max(map(len, found)) > 20_000 and sorted(zip(found, toxic, strict=True)) == want
