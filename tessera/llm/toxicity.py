@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fold, table
+from tessera.llm.common import fold, stored, table
 
 #: Length of subsequences, decay of each letter they span.
 ORDER, DECAY = 3, np.float32(0.8)
@@ -367,15 +367,18 @@ def train(texts: list[str], toxic: list[int], share: float | None = None) -> Mod
 
 
 def sampled(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[list[str], list[int], float | None]:
-    """Texts and labels to train on, and the share of toxic labels: of rows that aren't held out (crc32 of doc_id modulo 4
+    """Texts and labels to train on, and the share of toxic labels: of labelled ids that have a text (toxic
+    if any of their labels says so) and aren't held out (crc32 of doc_id modulo 4
     other than 2), the per_label of either label with the smallest hash of their id, with whole texts. At most 2 per_label
-    ids and texts reach the driver; the share is of all rows that aren't held out."""
-    free = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "toxic")
+    ids and texts reach the driver; the share is of all such ids."""
+    free = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id"), 4) != 2)
+    free = free.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    free = stored(free.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi"), "labelled")
     ids = None
     for label in (0, 1):
         part = free.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         ids = part if ids is None else ids.unionByName(part)
-    chosen = ids.groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    chosen = ids.withColumnRenamed("toxic", "_toxic")
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
     one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("toxic"))  # repeated ids count once
     found = sorted((r.doc_id, r.text, r.toxic) for r in one.collect())

@@ -117,3 +117,12 @@ def test_sample_holds_long_documents_whole(spark):
     want = sorted((x, y) for k, (x, y) in enumerate(zip(texts, labels, strict=True)) if zlib.crc32(str(k).encode()) % 4 != 2)
     found, toxic, _ = t.sampled(docs, marks)
     assert max(map(len, found)) > 20_000 and sorted(zip(found, toxic, strict=True)) == want
+
+
+def test_repeated_labels_and_ids_without_a_text_take_no_places(spark):
+    texts, labels = corpus(120, 7)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = [(k, y) for k, y in enumerate(labels)]
+    want = t.sampled(docs, spark.createDataFrame(marks, "doc_id long, toxic int"), 20)
+    more = [(k, y) for k, y in marks for _ in range(30)] + [(k, k % 2) for k in range(1000, 1400)]
+    assert len(want[0]) == 40 and t.sampled(docs, spark.createDataFrame(more, "doc_id long, toxic int"), 20) == want
