@@ -25,8 +25,8 @@ TILE = 8192
 STEP = 1 << 14
 #: Least share of common shingles in all shingles of two near copies, as a fraction.
 ALIKE, OF = 4, 5
-#: Bits of a parity sketch; documents sampled to find common shingles, and common shingles that are kept.
-SKETCH, SAMPLED, COMMON = 512, 10_000, 100_000
+#: Bits of a parity sketch, and of the wider one that pairs are held against before their sets meet; documents sampled to find common shingles, and common shingles that are kept.
+SKETCH, WIDE, SAMPLED, COMMON = 512, 4096, 10_000, 100_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -199,10 +199,10 @@ def prefix(found: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarr
     return found[:size]
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """Whether the number of hashes that fall in each of SKETCH places is odd. Two sketches differ in no more bits than
+def sketch(found: np.ndarray, places: int = SKETCH) -> np.ndarray:
+    """Whether the number of hashes that fall in each of so many places is odd. Two sketches differ in no more bits than
     their sets have hashes that the other lacks."""
-    return np.packbits(np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64)
+    return np.packbits(np.bincount((found % np.uint64(places)).astype(np.int64), minlength=places) & 1).view(np.int64)
 
 
 def possible_pairs(keys: np.ndarray, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -259,10 +259,13 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _slices(batches):
-            yield pd.DataFrame({"id": pdf.doc_id, "set": [shingle_set(t, words).view(np.int64) for t in pdf.text]})
+            sets = [shingle_set(t, words) for t in pdf.text]
+            wide = [sketch(x, WIDE) for x in sets]
+            yield pd.DataFrame({"id": pdf.doc_id, "size": [len(x) for x in sets], "sketch": wide, "set": [x.view(np.int64) for x in sets]})
 
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair_ids")
-    sets = stored(docs.select("doc_id", "text").join(sized(ids), "doc_id").mapInPandas(cut, "id long, set array<long>"), "cut")
+    sets = stored(docs.select("doc_id", "text").join(sized(ids), "doc_id").mapInPandas(cut, "id long, size int, sketch array<long>, set array<long>"), "cut")
+    pairs = stored(possible(pairs, sets.select("id", "size", "sketch")).distinct(), "possible")
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     found = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(OF * both >= ALIKE * (F.size("x") + F.size("y") - both))
