@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import reach, scratch, shared_dir, stored
 
-__all__ = ["BROADCAST_KEYS", "fold", "reach", "scratch", "shared_dir", "sized", "stored", "table", "without"]
+__all__ = ["BROADCAST_KEYS", "fold", "reach", "scratch", "shared_dir", "sized", "stored", "table", "unused", "without"]
 
 #: Keys that may be broadcast: at 8 bytes a key and Spark's hash relation, under about 30 MB. Beyond it a join shuffles.
 BROADCAST_KEYS = 500_000
@@ -32,3 +32,11 @@ def sized(side: DataFrame) -> DataFrame:
 def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """rows whose key isn't among keys (unique, not null). Rows with a null key stay."""
     return rows.join(sized(keys), key, "left_anti")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores behind it as no column of df has (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,18 +1,18 @@
 """Toxicity by a support vector machine on sentences, with a gap-weighted subsequence kernel between words.
 
-The kernel of two sentences is the sum, over pairs of their words, of the squared normalised subsequence kernel. With
-landmark words l the Nyström features of a sentence are K(sentence, l) K(l, l)^-1/2; as K(sentence, l) is a sum over words,
-so is the decision, and each word's share is worked out once and remembered.
+The kernel of two words is the square of what their common subsequences weigh; that of two sentences is its sum over pairs of
+their words. With landmark words l the Nyström features of a sentence are K(sentence, l) K(l, l)^-1/2; as K(sentence, l) is a
+sum over words, so is the decision, and each word's share is worked out once and remembered.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -20,23 +20,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fold, stored, table
-
-#: Length of subsequences, decay of each letter they span.
-ORDER, DECAY = 3, np.float32(0.8)
-#: Landmarks; labelled documents of either label that training takes at most, with whole texts.
-LANDMARKS, PER_LABEL = 32, 2000
-#: Words that landmarks are picked from, and landmarks of the label that a toxic document should hold.
-CANDIDATES, COVER = 2000, 3
-#: Symbols of words: a-z from 1, five classes of other letters and digits, START before each word.
-SYMBOLS, START = 33, 32
-#: Longest window of a word, longest run of words taken as a sentence, words remembered, characters scored at a time.
-WINDOW, SENTENCE, CACHE, CHUNK = 24, 16, 500_000, 500_000
+from tessera.llm.common import fold, stored, table, unused
+
+#: Length of subsequences (all of a shorter landmark), decay of each letter they span, START of each word.
+ORDER, DECAY, START = 5, np.float32(0.7), "^"
+#: Landmarks at most; labelled documents of either label that training takes at most, with whole texts.
+LANDMARKS, PER_LABEL = 128, 2000
+#: Words that landmarks are picked from, landmarks of the label that a toxic document should hold, kernel from which two
+#: landmarks are too much alike, letters of a beginning that may be one.
+CANDIDATES, COVER, ALIKE, STEM = 2000, 3, 0.3, range(3, 9)
+#: Windows of a long word (each begins half a window behind the last), pairs of words and landmarks worked out at a time,
+#: words remembered, characters scored at a time.
+WINDOW, PAIRS, CACHE, CHUNK = 24, 20_000, 500_000, 500_000
+#: Letters alone in a row that may be a word.
+SPACED = 3
+#: Letters put into the landmarks of toxic texts in further copies that training gets; shortest word that is so disguised.
+INSERTED, DISGUISED = (1, 2), 5
+#: Kernel with a landmark from which a word is near, and from which its sentence counts as toxic at first.
+NEAR, NEAR_INSERTED = 0.5, 0.2
+#: Log likelihood ratio of a word that may be a landmark, letters that are put in, seed of where.
+TIED, LETTERS, SEED = 6, "abcdefghijklmnopqrstuvwxyz", 11
 THRESHOLD, CLEAR = 0.3, 10
 
 _NOT_LETTERS = re.compile(r"[\W_]+")
 
 
+@lru_cache(100_000)
 def letters(token: str) -> str:
     return _NOT_LETTERS.sub("", token)
 
@@ -53,17 +62,16 @@ def spaced(tokens: list[str], alone: np.ndarray) -> list[str]:
         if single:
             run.append(letters(token))
         else:
-            if len(run) >= ORDER:
+            if len(run) >= SPACED:
                 out.append("".join(run))
             run = []
     return out
 
 
 def starts(end: np.ndarray) -> np.ndarray:
-    """Where sentences begin: behind the end of one, and after SENTENCE tokens at most."""
-    first = np.zeros(len(end), dtype=bool)
-    first[::SENTENCE] = True
-    first[1:] |= end[:-1]
+    """Where sentences begin: at the start and behind the end of one, however long they are."""
+    first = np.ones(len(end), dtype=bool)
+    first[1:] = end[:-1]
     return np.flatnonzero(first)
 
 
@@ -77,84 +85,110 @@ def sentences(text: str) -> list[list[str]]:
     return [tokens[a:b] for a, b in zip(at, [*at[1:], len(tokens)], strict=True)] + [[w] for w in spaced(tokens, alone)]
 
 
-@lru_cache(1)
-def _symbols() -> np.ndarray:
-    """The symbol of each character."""
-    c = np.arange(0x110000)
-    return np.where((c >= 97) & (c <= 122), c - 96, 27 + c % 5).astype(np.int32)
+def windows(word: str) -> list[str]:
+    """The whole word behind START, or overlapping windows of a long one."""
+    word = START + word
+    if len(word) <= WINDOW:
+        return [word]
+    return [word[k : k + WINDOW] for k in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    """Symbols of words of equal length, behind the START."""
-    data = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), -1)
-    return np.concatenate((np.full((len(words), 1), START, dtype=np.int32), _symbols()[data]), axis=1)
-
-
-@lru_cache(64)
-def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of each subsequence of ORDER (3) in a word of so many symbols, and the decay of what it spans."""
-    places = np.array(list(combinations(range(length), ORDER)), dtype=np.int64).reshape(-1, ORDER)
-    return places.T, DECAY ** (places[:, -1] - places[:, 0] + 1).astype(np.float32)
-
-
-def _subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of each subsequence of words of equal length, and its weight."""
-    (a, b, c), weight = _places(codes.shape[1])
-    return (codes[:, a] * SYMBOLS + codes[:, b]) * SYMBOLS + codes[:, c], weight
+    """Code points of words, with zeros behind shorter ones."""
+    width = max(map(len, words))
+    return np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), width)
 
 
-def _norm(length: int) -> float:
-    """What a word of so many symbols, START included, is worth to itself if no subsequence repeats."""
-    return float((_places(length)[1] ** 2).sum())
+def _marks(codes: np.ndarray) -> np.ndarray:
+    """A set of 64 places for each row: those of its letters."""
+    marks = np.zeros(len(codes), dtype=np.uint64)
+    for column in codes.T:
+        marks |= np.where(column > 0, np.uint64(1) << (column % np.uint64(64)).astype(np.uint64), np.uint64(0))
+    return marks
 
 
 class Landmarks:
-    """Landmark words with their weighted subsequences in a table, so that a word's kernels are sums over those of its own
-    subsequences that some landmark has. The gap-weighted subsequence kernel of order ORDER counts common subsequences,
-    each decayed by the letters that it spans in either word; it is normalised by the lengths of both."""
+    """Landmark words. The gap-weighted subsequence kernel counts the subsequences of ORDER letters that two words share,
+    each decayed by the letters that it spans in either; a shorter landmark (START counts as a letter) has subsequences of
+    its own length. Its square, divided by that of the landmark with itself, doesn't fall when other letters are put
+    around a landmark, and only by their decay when they are put into it."""
 
     def __init__(self, words: list[str]):
         self.words = words
-        rows = np.zeros((SYMBOLS**ORDER, len(words)), dtype=np.float32)
-        for n, w in enumerate(words):
-            number, weight = _subsequences(_codes([w]))
-            np.add.at(rows[:, n], number[0], weight)
-        self.own = np.array([_norm(len(w) + 1) for w in words], dtype=np.float32)
-        held = np.flatnonzero(rows.any(axis=1))
-        self.place = np.full(SYMBOLS**ORDER, -1, dtype=np.int32)
-        self.place[held] = np.arange(len(held))
-        self.rows = rows[held]
-
-    def kernels(self, words: list[str]) -> np.ndarray:
-        """Squared normalised kernel of each word with each landmark; 0 for words of under 2 letters."""
-        out = np.zeros((len(words), len(self.words)), dtype=np.float32)
-        by_length: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
-        for length, every in by_length.items():
-            if length + 1 < ORDER:
+        named = [START + w for w in words]
+        self.codes = _codes(named) if words else np.zeros((0, 1), dtype=np.uint32)
+        self.order = np.array([min(ORDER, len(w)) for w in named], dtype=np.int64)
+        self.marks = _marks(self.codes)
+        self.least = np.zeros(len(words), dtype=np.uint8)
+        for n, w in enumerate(words):  # places that a common subsequence has at least
+            often = sorted(Counter(ord(c) % 64 for c in w).values(), reverse=True)
+            self.least[n] = 1 + int(np.searchsorted(np.cumsum(often), self.order[n]))
+        self.places = [{c: sum(1 << k for k, x in enumerate(w) if x == c) for c in w} for w in named]
+        self.own = np.ones(len(words), dtype=np.float32)
+        if words:
+            every = np.arange(len(words))
+            self.own = self._weights(self.codes, every)
+
+    def _weights(self, codes: np.ndarray, land: np.ndarray) -> np.ndarray:
+        """Unnormalised kernel of each row of codes with the landmark of the number beside it."""
+        other, order = self.codes[land], self.order[land]
+        far = other.shape[1]
+        shift = np.arange(far)[None, :] - np.arange(far)[:, None] - 1
+        decay = np.where(shift >= 0, DECAY ** np.maximum(shift, 0), 0).astype(np.float32)
+        top = int(order.max())
+        last = [(order == n + 1)[:, None] for n in range(top)]
+        held = [np.ones(other.shape, dtype=np.float32), *(np.zeros(other.shape, dtype=np.float32) for _ in range(top - 1))]
+        out = np.zeros(len(land), dtype=np.float32)
+        for column in codes.T:
+            same = np.where((other == column[:, None]) & (column[:, None] > 0), DECAY * DECAY, np.float32(0))
+            if not same.any():
+                for n in range(1, top):
+                    held[n] *= DECAY
                 continue
-            step = max(1, 300_000 // len(_places(length + 1)[1]))
-            for at in range(0, len(every), step):
-                part = np.array(every[at : at + step])
-                codes = _codes([words[k] for k in part])
-                number, weight = _subsequences(codes)
-                place = self.place[number]
-                row, column = np.nonzero(place >= 0)
-                value = np.zeros((len(part), len(self.words)), dtype=np.float32)
-                if len(row):
-                    found, starts = np.unique(row, return_index=True)
-                    value[found] = np.add.reduceat(self.rows[place[row, column]] * weight[column, None], starts, axis=0)
-                    value = value * value / (np.float32(_norm(length + 1)) * self.own)
-                out[part] = value
+            for n in range(top - 1, -1, -1):
+                term = same * held[n]
+                out += (term * last[n]).sum(axis=1)
+                if n + 1 < top:
+                    held[n + 1] = DECAY * held[n + 1] + term @ decay
         return out
 
+    def _longest(self, codes: np.ndarray, land: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence, by bit-parallel steps."""
+        alphabet = np.unique(self.codes)
+        table = np.zeros((len(alphabet) + 1, len(self.words)), dtype=np.uint64)
+        for n, places in enumerate(self.places):
+            for c, bits in places.items():
+                table[int(np.searchsorted(alphabet, ord(c))), n] = bits
+        full = (np.uint64(1) << np.array([len(w) + 1 for w in self.words], dtype=np.uint64)) - np.uint64(1)
+        at = np.minimum(np.searchsorted(alphabet, codes), len(alphabet) - 1)
+        at = np.where(alphabet[at] == codes, at, len(alphabet))
+        todo = full[land]
+        for column in at.T:
+            hit = todo & table[column, land]
+            todo = (todo + hit) | (todo - hit)
+        return np.bitwise_count(~todo & full[land])
 
-def windows(word: str) -> list[str]:
-    """The whole word, or overlapping windows of a long one."""
-    if len(word) <= WINDOW:
-        return [word]
-    return [word[k : k + WINDOW] for k in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+    def kernels(self, words: list[str]) -> np.ndarray:
+        """Kernel of each word with each landmark, normalised by the landmark's own; the largest of a long word's windows."""
+        out = np.zeros((len(words), len(self.words)), dtype=np.float32)
+        if not self.words or not words:
+            return out
+        parts = [(k, part) for k, w in enumerate(words) for part in windows(w)]
+        parts.sort(key=lambda p: len(p[1]))
+        for at in range(0, len(parts), PAIRS):
+            some = parts[at : at + PAIRS]
+            row = np.array([k for k, _ in some])
+            codes = _codes([part for _, part in some])
+            near = np.bitwise_count(_marks(codes)[:, None] & self.marks[None, :]) >= self.least[None, :]
+            word, land = np.nonzero(near)
+            for k in range(0, len(word), PAIRS):
+                w, n = word[k : k + PAIRS], land[k : k + PAIRS]
+                close = self._longest(codes[w], n) >= self.order[n]
+                w, n = w[close], n[close]
+                if len(w):
+                    value = self._weights(codes[w], n) / self.own[n]
+                    np.maximum.at(out, (row[w], n), value * value)
+        return out
 
 
 def chunks(texts: list[str | None]) -> Iterator[list[str]]:
@@ -185,13 +219,11 @@ class Model:
         return self.__dict__ | {"shares": {}}
 
     def value(self, words: set[str]) -> dict[str, float]:
-        """Shares of words without other characters; a word's is the largest of its windows."""
-        parts = {w: windows(w) for w in words if len(w) >= ORDER}
-        unique = sorted({p for ps in parts.values() for p in ps})
-        if not unique or not self.landmarks:
+        """Shares of words without other characters."""
+        if not words or not self.landmarks:
             return {}
-        found = dict(zip(unique, (self.landmarks.kernels(unique) @ self.beta).tolist(), strict=True))
-        return {w: max(found[p] for p in ps) for w, ps in parts.items()}
+        some = sorted(words)
+        return dict(zip(some, (self.landmarks.kernels(some) @ self.beta).tolist(), strict=True))
 
     def learn(self, tokens: set[str]) -> None:
         """For tokens not yet known: the share, and as imaginary part 1 if a sentence ends there, 2 if it has one letter."""
@@ -276,16 +308,19 @@ def _never(share: float) -> Model:
     return Model(None, np.zeros(0, dtype=np.float32), 0.0, np.array([0.0, 0.0, 0.0, 0.0, np.log(max(share, 1e-3) / max(1 - share, 1e-3))]))
 
 
+def units(text: str) -> set[str]:
+    """Words of a text, windows of long ones, and beginnings of words: what landmarks are picked from."""
+    tokens = text.lower().split()
+    alone = np.array([len(t) < 4 and len(letters(t)) == 1 for t in tokens], dtype=bool)
+    words = {part.removeprefix(START) for w in {*map(letters, set(tokens)), *spaced(tokens, alone)} for part in windows(w)}
+    return {w for w in words | {w[:k] for w in words for k in STEM} if len(w) >= STEM.start and len(w) < WINDOW}
+
+
 def landmark_words(texts: list[str], toxic: list[int]) -> list[str]:
     """Words and beginnings of words most tied to the label (log likelihood ratio of the documents they are in that don't
-    hold COVER earlier ones yet). Documents are cut into words one at a time and again in each pass, so that no more than
-    counts of words are held."""
+    hold COVER earlier ones yet; ties: the longer, then the first by letters), unlike each other. Documents are cut into
+    words one at a time and again in each pass, so that no more than counts of words are held."""
     n1, n0 = sum(toxic), len(toxic) - sum(toxic)
-
-    def units(text: str) -> set[str]:
-        words = {letters(w)[:WINDOW] for s in sentences(text) for w in s}
-        return {w for w in words | {w[:k] for w in words for k in range(4, 8)} if len(w) >= ORDER}
-
     often = Counter(u for label, text in zip(toxic, texts, strict=True) if label for u in units(text))
     often = {u: n for u, n in often.items() if n >= 3}  # others can't be landmarks
     other = Counter(u for label, text in zip(toxic, texts, strict=True) if not label for u in units(text) & often.keys())
@@ -296,7 +331,7 @@ def landmark_words(texts: list[str], toxic: list[int]) -> list[str]:
             return 0.0
         return a * np.log(a / (n1 * rate)) + (b * np.log(b / (n0 * rate)) if b else 0.0)
 
-    ties = {w: t for w, n in often.items() if (t := tied(n, other[w])) >= 6}
+    ties = {w: t for w, n in often.items() if (t := tied(n, other[w])) >= TIED}
     best = sorted(ties, key=lambda w: (-ties[w], -len(w), w))[:CANDIDATES]
     where: dict[str, list[int]] = {w: [] for w in best}  # toxic documents
     for d, (label, text) in enumerate(zip(toxic, texts, strict=True)):
@@ -307,13 +342,37 @@ def landmark_words(texts: list[str], toxic: list[int]) -> list[str]:
     while len(bad) < LANDMARKS and best:
         value = [tied(int((todo[where[w]] > 0).sum()), other[w]) for w in best]
         k = int(np.argmax(value))
-        if value[k] < 6:
+        if value[k] < TIED:
             break
-        todo[where[best[k]]] -= 1
-        bad.append(best.pop(k))
+        picked = best[k]
+        todo[where[picked]] -= 1
+        bad.append(picked)
+        near = np.maximum(Landmarks([picked]).kernels(best)[:, 0], Landmarks(best).kernels([picked])[0])
+        best = [w for w, n in zip(best, near, strict=True) if n < ALIKE]
     return bad
 
 
+def near_words(texts: list[str], landmarks: Landmarks) -> set[str]:
+    """Words of DISGUISED letters or more that are near a landmark."""
+    near: set[str] = set()
+    for some in chunks(texts):
+        words = sorted({w for t in some for w in map(letters, set(t.lower().split())) if len(w) >= DISGUISED} - near)
+        near.update(w for w, k in zip(words, landmarks.kernels(words).max(axis=1, initial=0), strict=True) if k > NEAR)
+    return near
+
+
+def disguised(text: str, near: set[str], letters_in: int, rng: random.Random) -> str:
+    """The text with so many letters put within each of the words that are near a landmark."""
+    tokens = text.lower().split()
+    for k, w in enumerate(map(letters, tokens)):
+        if w in near:
+            for _ in range(letters_in):
+                at = rng.randint(1, len(w) - 1)
+                w = w[:at] + rng.choice(LETTERS) + w[at:]
+            tokens[k] = w + tokens[k][-1] * ends(tokens[k])
+    return " ".join(tokens)
+
+
 def sentence_kernels(texts: list[str], landmarks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each sentence: its kernels with the landmarks, the largest of one word, the number of its text. Words are held for
     some texts at a time."""
@@ -323,7 +382,7 @@ def sentence_kernels(texts: list[str], landmarks: Landmarks) -> tuple[np.ndarray
         tokens = sorted({w for text in split for s in text for w in s})
         if tokens:
             place = {t: k for k, t in enumerate(tokens)}
-            shares = landmarks.kernels([letters(t)[:WINDOW] for t in tokens])
+            shares = landmarks.kernels([letters(t) for t in tokens])
             rows = [(d, [w for w, v in zip(s, ["", *s], strict=False) if w != v]) for d, text in enumerate(split, before) for s in text]
             index = np.array([place[w] for _, s in rows for w in s])
             first = np.concatenate(([0], np.cumsum([len(s) for _, s in rows])[:-1])).astype(np.int64)
@@ -337,20 +396,27 @@ def sentence_kernels(texts: list[str], landmarks: Landmarks) -> tuple[np.ndarray
 def train(texts: list[str], toxic: list[int], share: float | None = None) -> Model:
     """A model from labelled documents. Which sentences of a toxic document are toxic isn't known: first those near a
     landmark of the label count, then, twice, those that the machine itself finds, and each document's most suspect one.
-    Sentences of other documents aren't. share: of toxic ones among all labelled documents, if the sample has another."""
+    Sentences of other documents aren't. Toxic documents count again with letters put into their landmarks, so that the
+    machine and its curve know disguises. share: of toxic ones among all labelled documents, if the sample has another."""
     y = np.array(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return _never(float(y.mean()) if len(y) else 0.0)
+    share = float(y.mean()) if share is None else share
     words = landmark_words(texts, toxic)
     if not words:
         return _never(float(y.mean()))
     landmarks = Landmarks(words)
-    x, near, doc = sentence_kernels(texts, landmarks)
-    values, vectors = np.linalg.eigh(landmarks.kernels(landmarks.words).astype(np.float64))
+    near = near_words([t for t, label in zip(texts, toxic, strict=True) if label], landmarks)
+    rng = random.Random(SEED)
+    more = [disguised(t, near, n, rng) for n in INSERTED for t, label in zip(texts, toxic, strict=True) if label]
+    texts, y = [*texts, *more], np.concatenate((y, np.ones(len(more))))
+    x, most_near, doc = sentence_kernels(texts, landmarks)
+    gram = landmarks.kernels(landmarks.words).astype(np.float64)
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     features = x @ root
     clean = y[doc] == 0
-    positive = ~clean & (near > 0.5)
+    positive = ~clean & (most_near > NEAR_INSERTED)
     for _ in range(3):
         used = positive | clean
         weight = np.where(positive[used], 1 / max(1, positive.sum()), 3 / max(1, clean.sum()))
@@ -361,7 +427,7 @@ def train(texts: list[str], toxic: list[int], share: float | None = None) -> Mod
     model = Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]), np.zeros(5))
     model.curve = _logistic(np.concatenate([model.features(part) for part in chunks(texts)])[: len(texts)], y)
     model.shares.clear()
-    if share is not None and 0 < share < 1:
+    if 0 < share < 1:
         model.curve[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return model
 
@@ -409,6 +475,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs that aren't predicted toxic; all columns stay."""
-    score = toxicity(spark, F.col("text"), trained(docs, labels))
-    return docs.withColumn("_toxicity", score).where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    """docs that aren't predicted toxic; all columns stay, whatever their names. Null and empty texts stay."""
+    name = unused(docs, "_toxicity")
+    scored = docs.withColumn(name, toxicity(spark, F.col("text"), trained(docs, labels)))
+    return scored.where(F.col(name) < THRESHOLD).drop(name)
