@@ -33,3 +33,31 @@ def test_odd_rows(spark):
     got = scan(spark, (None, GPL), ("x.py", GPL), ("x.py", GPL), ("y.py", ("text " * 50_000) + "\n" + GPL), ("same/p", "All rights reserved.\nReleased under the MIT License. " + GPL), ("q", ""))
     assert len(got) == 6 and [r[1] for r in got if r[0] == "x.py"] == ["GPL-3.0"] * 2 and next(r for r in got if r[0] == "y.py")[1] == "GPL-3.0"
     assert next(r for r in got if r[0] == "q")[1:] == (None, None, None)
+
+
+def test_ordinary_licence_files(spark):
+    bsd = "Copyright (c) 2020, Some One. All rights reserved.\n\n" + "\n\n".join(
+        (
+            "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+            "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+            "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.",
+            "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+            'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.',
+        )
+    )
+    gpl3 = (
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n"
+        "                            Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n\n  The licenses for most software and other practical works are designed\nto take away your freedom to share and change the works.\n"
+    )
+    header = "\n".join(f"# {x}" for x in ("This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version {} of the License, or", "(at your option) any later version."))
+    apache = "/*\n * Copyright 2021 Some One\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n */\nint x;\n"
+    isc = "ISC License\n\nCopyright (c) 2019 Some One\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    mit = "MIT License\n\nCopyright (c) 2022 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction.\n"
+    found = {path: own for path, own, _, _ in scan(
+        spark, ("b/LICENSE", bsd), ("g/COPYING", gpl3), ("h/three.py", header.format(3) + "\n\nx = 1\n"), ("h/two.py", header.format(2) + "\n\nx = 1\n"), ("i/LICENSE", isc), ("m/LICENSE", mit), ("a/x.c", apache),
+        ("s/a.py", "# SPDX-License-Identifier: MIT\nx = 1\n"), ("s/b.py", "// SPDX-License-Identifier: GPL-2.0-or-later\n"), ("s/c.py", "# SPDX-License-Identifier: Apache-2.0\n"), ("n/x.py", "x = 1\n"),
+    )}
+    assert found == {
+        "b/LICENSE": "BSD-3-Clause", "g/COPYING": "GPL-3.0", "h/three.py": "GPL-3.0", "h/two.py": "GPL-2.0", "i/LICENSE": "ISC", "m/LICENSE": "MIT", "a/x.c": "Apache-2.0",
+        "s/a.py": "MIT", "s/b.py": "GPL-2.0", "s/c.py": "Apache-2.0", "n/x.py": None,
+    }
