@@ -66,7 +66,7 @@ def split_parts(entries: DataFrame, split_tokens: int | None) -> DataFrame:
     as a stream; everything else stays where it is."""
     if split_tokens is None:
         return entries.withColumn("part", F.lit(1))
-    pairs = entries.select("rank", "cost").coalesce(1).sortWithinPartitions("rank")
+    pairs = entries.select("rank", "cost").repartition(1).sortWithinPartitions("rank")  # not coalesce, which would put what comes before into the same task
     return entries.join(pairs.mapInPandas(_next_fit(split_tokens), "rank bigint, part int"), "rank")
 
 

@@ -1,4 +1,4 @@
-"""Command line: python -m tessera.plans.cli [dotnet | wiki] --directory DIR [options]."""
+"""Command line: python -m tessera.plans.cli [dotnet | wiki] --directory DIR [options], or serve (or mcp) for tools."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from tessera.plans.engine import pack
 from tessera.plans.options import Options
+from tessera.plans.serve import serve
 
 MAKERS = {"root": Options.root, "dotnet": Options.dotnet, "wiki": Options.wiki}
 #: Names of options on the command line that differ from their fields.
@@ -44,8 +45,12 @@ def options_of(args: list[str]) -> Options:
 def main(args: list[str] | None = None) -> int:
     """Failures are shown and give 1; none is raised."""
     logging.basicConfig(level=logging.INFO, format="%(message)s", stream=sys.stderr)
+    args = sys.argv[1:] if args is None else args
     try:
-        options = options_of(sys.argv[1:] if args is None else args)
+        if args[:1] in (["serve"], ["mcp"]):
+            serve(SparkSession.builder.getOrCreate())
+            return 0
+        options = options_of(args)
         for path in pack(SparkSession.builder.getOrCreate(), options).generated_paths:
             print(path)
     except Exception as failure:  # shown instead, as documented

@@ -13,6 +13,7 @@ from tessera.functions.tokens import approximate, token_count
 from tessera.operators import filters, packing, render, sinks
 from tessera.plans.options import Options, extension_list, resolve
 from tessera.plans.templates import TEMPLATES, template_dim
+from tessera.session import stored
 from tessera.sources.tables import PATHS, table_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,7 +339,7 @@ def _packed_pages(s: SparkSession, d: str, self_closing: bool = True) -> DataFra
     from tessera.plans.engine import prepared
 
     files = filters.collect_files(table_files(s, d, "pages"), PAGES, resolve(PAGES), ())
-    done = prepared(s, files, PAGES, self_closing)
+    done = stored(prepared(s, files, PAGES, self_closing), "prepared")
     chosen = packing.within_budget(packing.ranked(done.select("relative_path", "length", "tokens", "cost")), PAGES.max_tokens)
     return _with_entry(chosen.join(done.select("relative_path", "content"), "relative_path"))
 

@@ -22,9 +22,13 @@ def reach(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where that is unset
-    (tests on one machine) a local one is set."""
+    and everything runs in one process (tests) a local one is set; on a cluster it is an error, as executors wouldn't see
+    each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints/tessera")
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")

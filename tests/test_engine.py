@@ -1,14 +1,17 @@
 """From a directory to bundles, on a small tree."""
 
+import io
+import json
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans import cli
-from tessera.plans.engine import Engine, pack_to_string, read_resource
+from tessera.plans.engine import Cancelled, Engine, pack_to_string, prepared, read_resource
 from tessera.plans.options import Options
-from tessera.sources.files import read_tree
+from tessera.plans.serve import serve
+from tessera.sources.files import read_contents, read_tree
 from tessera.streaming.files import stream_entries, stream_files, write_entries
 
 
@@ -62,17 +65,51 @@ def test_part_files(spark, tree, tmp_path):
 
 
 def test_in_memory_text(spark, tree):
-    text = pack_to_string(spark, tree, "dotnet", include_extensions="md", aggressive_minification=True)
+    text = pack_to_string(spark, tree, "dotnet", aggressive_minification=True)
     assert '<file path="src/A.cs">\nusing A;class A{}\n</file>\n' in text and "files | ~" in text.splitlines()[-1]
     assert "nothing.json" not in text
     assert pack_to_string(spark, tree, max_tokens=1).count("<file ") == 1
     assert "<file " in read_resource(spark, "generic", tree) and "files | ~" not in read_resource(spark, "generic", tree)
-    with pytest.raises(ValueError, match="Directory"):
-        pack_to_string(spark, tree + "/none")
-    with pytest.raises(ValueError, match="Unknown template"):
-        pack_to_string(spark, tree, "Node")
-    with pytest.raises(ValueError, match="No files"):
-        pack_to_string(spark, tree, include_extensions="zig")
+
+
+def test_included_endings_of_the_tool_are_the_only_ones(spark, tree):
+    for template in ("dotnet", None):
+        text = pack_to_string(spark, tree, template, include_extensions="md, ,.cshtml")
+        assert text.count("<file ") == 2 and '<file path="note.md">' in text and '<file path="src/_C.cshtml">' in text
+    assert pack_to_string(spark, tree, "dotnet", include_extensions=" , ").count("<file ") > 2
+    folder = pack_to_string(spark, tree, "dotnet", include_extensions=".cs")
+    assert '<file path="bin/x.cs">' in folder  # the template's folders count for nothing either
+
+
+def test_errors_of_the_tool_are_texts(spark, tree):
+    assert pack_to_string(spark, tree + "/none") == read_resource(spark, "generic", tree + "/none") == f"Error: Directory not found: {tree}/none"
+    assert pack_to_string(spark, tree, "Vue").startswith("Error: Unknown template 'Vue'. Valid values: Generic, DotNet, ")
+    assert read_resource(spark, "Vue", tree).startswith("Error: Unknown template 'Vue'. Valid values: generic, Generic, DotNet, ")
+    assert pack_to_string(spark, tree, include_extensions="zig") == "No files found matching the criteria."
+    assert pack_to_string(spark, tree, tokenizer="nothing").startswith("Error during fusion: ")
+
+
+def test_only_files_that_the_listing_leaves_are_read(spark, tree, monkeypatch):
+    plan = Engine(spark, Options(source_directory=tree, only_extensions=(".md",))).files()
+    assert names(plan) == {"note.md"}
+    listed = read_tree(spark, tree, metadata=True).where("name = 'note.md'")
+    assert [r.content for r in read_contents(listed).collect()] == ["# Title\n\ntext\n"]
+    gone = read_contents(listed.withColumn("path", F.lit("/nowhere/at/all"))).collect()
+    assert [r.content for r in gone] == [None]
+
+
+def test_minifiers_run_once_a_file(spark):
+    files = spark.createDataFrame([("a", "a.cs", "a.cs", ".cs", 1, "x")], "path string, relative_path string, name string, extension string, length long, content string")
+    done = prepared(spark, files, Options.dotnet(tokenizer="approx"))
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 180
+
+
+def test_a_run_can_be_cancelled(spark, tree):
+    engine = Engine(spark, Options(source_directory=tree))
+    engine.cancel()
+    with pytest.raises(Cancelled):
+        engine.run_in_memory()
+    assert Engine(spark, Options(source_directory=tree, tokenizer="approx")).run_in_memory().processed_files > 0
 
 
 def test_nothing_found_writes_nothing(spark, tree, tmp_path):
@@ -87,6 +124,31 @@ def test_command_line(spark, tree, tmp_path, capsys):
     assert cli.main(["--directory", tree + "/none"]) == 1
 
 
+def test_server_of_tools(spark, tree):
+    source = io.StringIO("".join(json.dumps(m) + "\n" for m in (
+        {"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {"protocolVersion": "2024-11-05"}},
+        {"jsonrpc": "2.0", "method": "notifications/initialized"},
+        {"jsonrpc": "2.0", "id": 2, "method": "tools/list"},
+        {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "get_optimized_context", "arguments": {"path": tree, "includeExtensions": "md"}}},
+        {"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": "get_optimized_context", "arguments": {"path": tree + "/none"}}},
+        {"jsonrpc": "2.0", "id": 5, "method": "tools/call", "params": {"name": "get_optimized_context", "arguments": {"path": tree, "maxTokens": "many"}}},
+        {"jsonrpc": "2.0", "id": 6, "method": "resources/templates/list"},
+        {"jsonrpc": "2.0", "id": 7, "method": "resources/read", "params": {"uri": "bundle://generic/" + tree}},
+        {"jsonrpc": "2.0", "id": 8, "method": "nothing"},
+    )) + "no json\n")
+    sink = io.StringIO()
+    serve(spark, source, sink)
+    replies = [json.loads(line) for line in sink.getvalue().splitlines()]
+    assert [r["id"] for r in replies] == [1, 2, 3, 4, 5, 6, 7, 8, None]
+    by_id = {r["id"]: r for r in replies}
+    assert by_id[1]["result"]["protocolVersion"] == "2024-11-05" and by_id[2]["result"]["tools"][0]["name"] == "get_optimized_context"
+    called = by_id[3]["result"]
+    assert not called["isError"] and called["content"][0]["text"].count("<file ") == 1 and '<file path="note.md">' in called["content"][0]["text"]
+    assert by_id[4]["result"]["isError"] and by_id[4]["result"]["content"][0]["text"].startswith("Error: Directory not found")
+    assert [by_id[k]["error"]["code"] for k in (5, 8, None)] == [-32602, -32601, -32700]
+    assert "<file " in by_id[7]["result"]["contents"][0]["text"] and by_id[6]["result"]["resourceTemplates"]
+
+
 def test_token_counts_of_the_tokenizer(spark):
     from tessera.functions.tokens import encoding, token_count
 
