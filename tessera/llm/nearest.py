@@ -10,114 +10,145 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
-
-#: Vectors and queries that meet in one tile.
-VECTORS, QUERIES = 8192, 2048
-#: Standard deviations of a code's error that its bound allows for.
-BOUND = 2.2
+from tessera.llm.common import reach, stored, table
+
+#: One-bit codes of a vector: the first of its direction, each other one of what those before leave.
+LEVELS = 8
+#: Components of the vectors whose codes meet in one tile, queries of a tile, estimates worked out at a time.
+ELEMENTS, QUERIES, ESTIMATES = 1 << 22, 4096, 1 << 22
+#: Standard deviations of a code's error that its bound allows for, and the share of a length that arithmetic may add.
+BOUND, ROUNDING = 3.0, 1e-5
 SEED = 20_240_527
 
 
-@lru_cache(8)
-def rotation(dim: int) -> np.ndarray:
+@lru_cache(64)
+def rotation(dim: int, level: int) -> np.ndarray:
     """A random orthogonal matrix, the same on every node."""
-    q, r = np.linalg.qr(np.random.default_rng([SEED, dim]).standard_normal((dim, dim)))
+    q, r = np.linalg.qr(np.random.default_rng([SEED, dim, level]).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
 
-def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs of the rotated vectors, their lengths, and the inner product of each direction with its code (a
-    corner of the cube, at length 1)."""
-    length = np.linalg.norm(vectors, axis=1)
-    turned = (vectors / length[:, None]) @ rotation(vectors.shape[1])
-    return np.packbits(turned > 0, axis=1), length, np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
+def lengths(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each vector and its direction, without under- or overflow of squares."""
+    largest = np.abs(vectors).max(axis=1)
+    scaled = vectors / largest[:, None]
+    short = np.linalg.norm(scaled, axis=1)
+    return largest * short, scaled / short[:, None]
+
 
+def encode(directions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed signs of the rotated direction and of what each level leaves of it, how far along each code (a corner of the
+    cube, at length 1) it goes, and the length of what is left at the end."""
+    left, dim = directions, directions.shape[1]
+    bits, along = [], []
+    for level in range(LEVELS):
+        turned = left @ rotation(dim, level)
+        sign = np.where(turned > 0, 1.0, -1.0) / np.sqrt(dim)
+        along.append((turned * sign).sum(axis=1))
+        bits.append(np.packbits(turned > 0, axis=1))
+        left = left - along[-1][:, None] * (sign @ rotation(dim, level).T)
+    return np.concatenate(bits, axis=1), np.stack(along, axis=1), np.linalg.norm(left, axis=1)
 
-def estimates(queries: np.ndarray, codes: np.ndarray, length: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products (queries x vectors), and the bounds of their errors (for queries of length 1)."""
-    dim = queries.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * np.float32(2 / np.sqrt(dim)) - np.float32(1 / np.sqrt(dim))
-    turned = (queries @ rotation(dim)).astype(np.float32)
-    scale = length / fit
-    bound = BOUND * length * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit / np.sqrt(max(1, dim - 1))
-    return (turned @ signs.T) * scale.astype(np.float32), bound.astype(np.float32)
+
+def estimates(directions: np.ndarray, codes: np.ndarray, along: np.ndarray) -> np.ndarray:
+    """Estimated inner products of query directions with coded directions (queries x vectors), from bits and scalars alone.
+    What the codes of a vector say is added up over its levels once, for all queries."""
+    dim, width = directions.shape[1], codes.shape[1] // LEVELS
+    said = np.zeros((len(codes), dim), dtype=np.float32)
+    for level in range(LEVELS):
+        sign = np.unpackbits(codes[:, level * width : (level + 1) * width], axis=1, count=dim).astype(np.float32) * 2 - 1
+        said += (sign * (along[:, level, None] / np.sqrt(dim)).astype(np.float32)) @ rotation(dim, level).T.astype(np.float32)
+    return directions.astype(np.float32) @ said.T
 
 
 def _codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for dim, same in pdf.groupby(pdf.embedding.map(len)):
-            codes, length, fit = encode(np.stack(same.embedding.to_numpy()).astype(np.float64))
-            yield pd.DataFrame({"vec_id": same.vec_id, "dim": dim, "embedding": same.embedding, "code": [c.tobytes() for c in codes], "length": length, "fit": fit})
+            length, directions = lengths(np.stack(same.embedding.to_numpy()).astype(np.float64))
+            bits, along, left = encode(directions)
+            yield pd.DataFrame({"row": same.row, "dim": dim, "code": [c.tobytes() for c in bits], "along": list(along), "left": left, "length": length})
 
 
 def _tile(k: int):
     def search(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        """The k best of the tile's vectors for each of its queries. Vectors whose estimate plus bound stays under the
-        k-th best exact score of a first choice are discarded; the others are scored on the original vectors."""
-        if not len(vectors) or not len(queries):
-            return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}).astype({"query_row": "int64", "query_id": "int64", "vec_id": "int64"})
-        vectors = vectors.sort_values(["vec_id", "row"], ignore_index=True)
-        ids, exact = vectors.vec_id.to_numpy(), np.stack(vectors.embedding.to_numpy()).astype(np.float64)
-        codes = np.frombuffer(b"".join(vectors.code), dtype=np.uint8).reshape(len(vectors), -1)
-        length, fit = vectors.length.to_numpy(), vectors.fit.to_numpy()
-        asked = np.stack(queries.embedding.to_numpy()).astype(np.float64)
-        sizes, own_ids = np.linalg.norm(asked, axis=1), queries.vec_id.to_numpy()
-        out = []
-        for start in range(0, len(queries), 256):
-            near, bound = estimates(asked[start : start + 256], codes, length, fit)
-            for n, row in enumerate(near, start):
-                query, own = asked[n], own_ids[n]
-                other = np.flatnonzero(ids != own)
-                if len(other) > 4 * k:
-                    first = other[np.argpartition(-row[other], k)[:k]]
-                    least = np.min(exact[first] @ query)
-                    other = other[row[other] + bound[other] * np.float32(sizes[n]) >= least - 1e-6 * abs(least)]
-                    other = np.union1d(other, first)
-                scores = exact[other] @ query
-                best = np.lexsort((ids[other], -scores))[:k]
-                out.append((ids[other][best], scores[best]))
-        counts = [len(found) for found, _ in out]
-        return pd.DataFrame(
-            {
-                "query_row": np.repeat(queries.row.to_numpy(), counts),
-                "query_id": np.repeat(own_ids, counts),
-                "vec_id": np.concatenate([found for found, _ in out]),
-                "score": np.concatenate([score for _, score in out]),
-            }
-        )
+        """Of the tile's vectors, for each of its queries, those whose estimate plus bound reaches the k-th best estimate less
+        bound. Estimates and bounds are for a query of length 1."""
+        out: dict[str, list[np.ndarray]] = {"query_row": [], "row": [], "low": [], "high": []}
+        if len(vectors) and len(queries):
+            vectors = vectors.sort_values("row", ignore_index=True)
+            rows, length = vectors.row.to_numpy(), vectors.length.to_numpy()
+            codes = np.frombuffer(b"".join(vectors.code), dtype=np.uint8).reshape(len(vectors), -1)
+            along = np.stack(vectors.along.to_numpy())
+            _, asked = lengths(np.stack(queries.embedding.to_numpy()).astype(np.float64))
+            bound = length * (BOUND * vectors.left.to_numpy() / np.sqrt(max(1, asked.shape[1] - 1)) + ROUNDING)
+            step = max(1, ESTIMATES // len(vectors))
+            for at in range(0, len(queries), step):
+                near = estimates(asked[at : at + step], codes, along)
+                for n, row in enumerate(near, at):
+                    guess = row * length
+                    low, high, own = guess - bound, guess + bound, queries.row.iloc[n]
+                    other = np.flatnonzero(rows != own)
+                    if len(other) > k:
+                        least = np.partition(low[other], len(other) - k)[len(other) - k]
+                        other = other[high[other] >= least]
+                    for name, value in zip(out, (np.full(len(other), own), rows[other], low[other], high[other]), strict=True):
+                        out[name].append(value)
+        return pd.DataFrame({name: np.concatenate(v) if v else np.zeros(0) for name, v in out.items()}).astype({"query_row": "int64", "row": "int64"})
 
     return search
 
 
+def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        scores = [float(np.dot(np.asarray(a, dtype=np.float64), np.asarray(b, dtype=np.float64))) for a, b in zip(pdf.asked, pdf.embedding, strict=True)]
+        yield pd.DataFrame({"query_row": pdf.query_row, "query_id": pdf.query_id, "vec_id": pdf.vec_id, "score": scores})
+
+
+def candidates(numbered: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_row, row of the pairs that bounds leave for exact scores, of numbered(row, embedding) and asked(row, embedding)."""
+    coded = stored(numbered.select("row", "embedding").mapInPandas(_codes, "row long, dim int, code binary, along array<double>, left double, length double"), "codes")
+    total, widest, wanted = coded.count(), coded.agg(F.max("dim")).first()[0], asked.count()
+    blocks = -(-total * widest // ELEMENTS)
+    parts = max(-(-wanted // QUERIES), min(wanted, -(-numbered.sparkSession.sparkContext.defaultParallelism // blocks)))
+    own = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = coded.withColumn("block", own(blocks)).withColumn("part", every_one(parts))
+    right = asked.select("row", "embedding", F.size("embedding").alias("dim")).withColumn("part", own(parts)).withColumn("block", every_one(blocks))
+    keys = ("dim", "block", "part")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_tile(k), "query_row long, row long, low double, high double")
+    best = Window.partitionBy("query_row").orderBy(F.col("low").desc())
+    least = F.nth_value("low", k).over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return found.withColumn("least", least).where("least is null or high >= least").select("query_row", "row")
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """For each row of vectors(vec_id, embedding) whose vec_id is divisible by `every`: query_id, rank (from 1), vec_id,
-    score of the k rows, other than those with its own vec_id, with the largest inner product in double precision; ties
-    go to the smaller vec_id. Fewer candidates give fewer rows.
+    score of the k other rows with the largest inner product in double precision; ties go to the smaller vec_id. Fewer
+    candidates give fewer rows.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null vec_id, take no part;
-    vectors meet others of their own dimension only. A repeated row is a query and a candidate as often as it comes. An
-    empty table gives no rows.
+    vectors meet others of their own dimension only. A repeated row is a query and a candidate as often as it comes; other
+    columns don't count. An empty table gives no rows.
 
-    Every row is coded once; codes and queries then meet in tiles of bounded size, dealt by row number, so no value of a
-    key can make a task large. Each tile returns k rows a query."""
+    Every row is coded once. Codes and queries meet in tiles of bounded size, dealt by row number, so no value of a key can
+    make a task large; only codes are copied for tiles. Bounds choose the pairs, a few more than k a query, that are scored on
+    the original vectors."""
+    reach(vectors.sparkSession)
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id is not null").where(whole)
-    coded = stored(usable.mapInPandas(_codes, "vec_id long, dim int, embedding array<double>, code binary, length double, fit double"), "codes")
-    coded = coded.withColumn("row", F.monotonically_increasing_id())
-    asked = coded.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "dim", "embedding", "row")
-    blocks, query_blocks = -(-coded.count() // VECTORS), -(-asked.count() // QUERIES)
-    if not query_blocks:
+    numbered = stored(usable.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    asked = numbered.where(F.pmod("vec_id", F.lit(every)) == 0)
+    if asked.isEmpty():
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    own = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
-    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = coded.withColumn("block", own(blocks)).withColumn("part", every_one(query_blocks))
-    right = asked.withColumn("part", own(query_blocks)).withColumn("block", every_one(blocks))
-    keys = ("dim", "block", "part")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_tile(k), "query_row long, query_id long, vec_id long, score double")
+    pairs = stored(candidates(numbered, asked, k), "pairs")
+    queries = asked.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    scored = pairs.join(numbered, "row").join(queries, "query_row").select("query_row", "query_id", "vec_id", "embedding", "asked")
+    scored = scored.mapInPandas(_products, "query_row long, query_id long, vec_id long, score double")
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nearest of the table embeddings: each vec_id divisible by 20 against all rows. What it does with odd rows is said
+    there."""
     return nearest(table(spark, sf_dir, "embeddings"))

@@ -18,13 +18,33 @@ def brute(ids, vectors, every, k):
 
 def test_estimates_stay_within_their_bounds():
     rng = np.random.default_rng(0)
-    vectors, queries = rng.standard_normal((2000, 48)), rng.standard_normal((50, 48))
-    queries /= np.linalg.norm(queries, axis=1)[:, None]
-    near, bound = n.estimates(queries, *n.encode(vectors))
-    outside = np.abs(near - queries @ vectors.T) > bound
-    assert outside.mean() < 0.06
-    assert np.corrcoef(near.ravel(), (queries @ vectors.T).ravel())[0, 1] > 0.75
-    assert np.allclose(n.rotation(48) @ n.rotation(48).T, np.eye(48))
+    directions, queries = (n.lengths(rng.standard_normal((m, 48)))[1] for m in (2000, 50))
+    codes, along, left = n.encode(directions)
+    near = n.estimates(queries, codes, along)
+    outside = np.abs(near - queries @ directions.T) > n.BOUND * left / np.sqrt(47) + n.ROUNDING
+    assert codes.shape == (2000, n.LEVELS * 6) and codes.dtype == np.uint8 and left.max() < 0.05
+    assert outside.mean() < 0.01
+    assert np.corrcoef(near.ravel(), (queries @ directions.T).ravel())[0, 1] > 0.999
+    assert all(np.allclose(n.rotation(48, k) @ n.rotation(48, k).T, np.eye(48)) for k in range(n.LEVELS))
+
+
+def test_few_pairs_are_left_for_exact_scores(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.standard_normal((4000, 64)))], "row long, embedding array<double>")
+    asked = df.where("row % 20 = 0")
+    share = n.candidates(df, asked, 20).count() / (200 * 3999)
+    assert 20 / 3999 <= share < 0.01
+
+
+@pytest.mark.parametrize("size", [1e-200, 1e150])
+def test_lengths_far_from_one(spark, size):
+    rng = np.random.default_rng(2)
+    vectors = rng.standard_normal((300, 16)) * size
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = n.candidates(df.withColumnRenamed("vec_id", "row"), df.withColumnRenamed("vec_id", "row").where("row % 20 = 0"), 20).collect()
+    found = {(r.query_row, r.row) for r in got}
+    want = {(q, j) for q, js in brute(np.arange(300), vectors / size, 20, 20).items() for j in js}
+    assert len(want & found) >= 0.99 * len(want)
 
 
 @pytest.mark.parametrize("dim", [1, 7, 64])
@@ -33,7 +53,7 @@ def test_recall_against_brute_force(spark, dim, monkeypatch):
     ids = np.arange(700)
     vectors = (rng.standard_normal((700, dim)) * rng.uniform(0.1, 5, (700, 1))).astype(np.float32)
     df = spark.createDataFrame([(int(i), v.tolist(), 0, 0.5) for i, v in zip(ids, vectors, strict=True)], SCHEMA)
-    monkeypatch.setattr(n, "VECTORS", 200)
+    monkeypatch.setattr(n, "ELEMENTS", 200 * dim)
     monkeypatch.setattr(n, "QUERIES", 10)
     rows = n.nearest(df).collect()
     want, got = brute(ids, vectors.astype(float), 20, 20), {}
@@ -60,5 +80,5 @@ def test_odd_rows(spark):
     for r in sorted(n.nearest(df).collect(), key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert got[0] == [(1, 1, 1.0), (2, 2, 1.0), (3, 40, 0.5), (4, 40, 0.5)]
-    assert got[40] == sorted(2 * [(1, 0, 0.5), (2, 1, 0.5), (3, 2, 0.5)]) and set(got) == {0, 40}
+    assert got[40] == sorted(2 * [(1, 0, 0.5), (2, 1, 0.5), (3, 2, 0.5), (4, 40, 0.5)]) and set(got) == {0, 40}
     assert n.nearest(df.limit(0)).collect() == []
