@@ -9,9 +9,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of rows that a Python worker gets at a time, unless the session says otherwise.
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def reach(spark: SparkSession) -> SparkSession:
     """Puts this package's folder on the Python path of the workers, where they see the same folder (one machine, a shared
-    installation). On other clusters the package is installed or sent with --py-files, and this changes nothing."""
+    installation). On other clusters the package is installed or sent with --py-files, and this changes nothing. Also bounds
+    the bytes that workers get at a time, where the session doesn't, since texts may be long."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH))
     root = str(Path(__file__).resolve().parent.parent)
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
