@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table, without
+from tessera.llm.common import stored, table, unused, without
 
-#: Frequent digests looked for, and counters that a Misra-Gries summary keeps: digests in more than 1 in
-#: COUNTERS of the rows can't be missed. Both bound what is broadcast (HEAVY rows of about 100 bytes).
-HEAVY, COUNTERS = 256, 4096
+#: Counters that a Misra-Gries summary keeps, and digests that it may name: as many, so that none of the frequent ones is
+#: crowded out. A digest in more than about 1 of 2,300 rows (3.5 of the summary's 8,192 places) is among them; others may
+#: be missed and are shuffled, a small group each. It bounds what is broadcast (HEAVY rows of about 100 bytes).
+HEAVY = COUNTERS = 4096
 
 
 def normalised(text: Column) -> Column:
@@ -32,7 +33,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
     Of equal normalised texts the one with the most code points, then the smallest doc_id, stays. Among rows repeated
     with one doc_id and text, one stays. Null is as empty; a null doc_id comes last among equals. An empty table
-    gives no rows.
+    gives no rows. Texts of any length count whole; columns but doc_id and text don't count.
 
     A Misra-Gries summary (Spark's approx_top_k, of bounded size) names digests that may be frequent. Their exact counts
     and winners are aggregated map-side over all rows, so that a hot digest sends one row per task; at most HEAVY
@@ -65,7 +66,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without exact duplicates; all columns stay. Rows with a null doc_id stay, as no decision can name them."""
+    """docs without exact duplicates; all columns stay, whatever their names. Rows with a null doc_id stay, as no decision can
+    name them. Of rows repeated with one doc_id and text one stays."""
     groups = stored(exact_groups(docs).select("doc_id", "kept", "keep_id"), "groups")
     again = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("some"), F.min("kept").alias("all"))
     out = again.where("not some").select("doc_id").where("doc_id is not null")
@@ -73,17 +75,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if not docs.columns or mixed.isEmpty():
         return without(docs, out, "doc_id")
     # an id with both kept and dropped rows: its rows alone are numbered
-    unsure = docs.join(mixed.select("doc_id"), docs.doc_id.eqNullSafe(mixed.doc_id), "left_semi")
-    sure = without(docs, out, "doc_id").join(mixed.select(F.col("doc_id").alias("_mixed")), F.col("doc_id").eqNullSafe(F.col("_mixed")), "left_anti")
-    with_digest = unsure.withColumn("_digest", F.sha2(normalised(F.col("text")).cast("binary"), 256)).withColumn("_chars", F.char_length(F.coalesce(F.col("text"), F.lit(""))))
-    best = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    order = Window.partitionBy("doc_id", "_digest").orderBy(F.col("_chars").desc())
-    one = with_digest.withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    one = one.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
-    return sure.unionByName(one.drop("_digest", "_chars", "_n"))
+    digest, chars, number = unused(docs, "_digest"), unused(docs, "_chars"), unused(docs, "_n")
+    known = docs["doc_id"]
+    unsure = docs.join(mixed.select(F.col("doc_id").alias(digest)), known.eqNullSafe(F.col(digest)), "left_semi")
+    sure = without(docs, out, "doc_id").join(mixed.select(F.col("doc_id").alias(digest)), F.col("doc_id").eqNullSafe(F.col(digest)), "left_anti")
+    with_digest = unsure.withColumn(digest, F.sha2(normalised(F.col("text")).cast("binary"), 256)).withColumn(chars, F.char_length(F.coalesce(F.col("text"), F.lit(""))))
+    best = exact_groups(docs).where("kept").select(F.struct("doc_id", F.col("text_sha256").alias("sha")).alias(number))
+    order = Window.partitionBy("doc_id", digest).orderBy(F.col(chars).desc())
+    one = with_digest.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
+    one = one.join(best, F.col("doc_id").eqNullSafe(F.col(number)["doc_id"]) & (F.col(digest) == F.col(number)["sha"]), "left_semi")
+    return sure.unionByName(one.drop(digest, chars))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_groups of documents; what it does with odd rows is said there."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 

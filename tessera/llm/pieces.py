@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import reach, stored, table
 
 #: Characters of a chunk; longer documents are giant ones. Words remembered by a worker, their longest.
 CHUNK, CACHE, LONG = 65_536, 500_000, 64
@@ -298,6 +298,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have no ids. Repeated rows give repeated rows; giant ones are told apart by a number, not by
     their doc_id. A mark of the model's in a text is a space to it and comes back as one. No documents give no rows. Only
     giant documents are shuffled, chunk by chunk; a group of rows never holds more than one document."""
+    reach(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     small = docs.where(F.length("text") < CHUNK).mapInPandas(_whole(path), "doc_id long, chunks int, ids binary, round_trip boolean")
     giant = docs.where(F.length("text") >= CHUNK).withColumn("row", F.monotonically_increasing_id())
@@ -309,6 +310,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: doc_id, chunks, n_pieces, ids_crc32, round_trip, from encoded, which says what it does with odd
+    rows; other columns don't count."""
     import public_tokenizers
 
     found = encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch, sized, stored, table
+from tessera.llm.common import reach, scratch, sized, stored, table
 
 #: Fixed values of the formats: skippable frame that holds a dictionary, record version, profile of a revisit.
 DICTIONARY_FRAME, VERSION = 0x184D2A5D, "WARC/1.1"
@@ -132,18 +132,20 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
     """Archives of pages(page_id, url, html) in a folder that all nodes share: archive, records, bytes.
 
     Null html is an empty payload. Payloads that pages repeat are stored once (revisits). Rows repeated with one page_id
-    give a record each. A page with a null page_id is a response of its own. A task that runs again replaces its files;
-    each file appears whole, by a rename."""
+    give a record each. A page with a null page_id is a response of its own. Pages of any length are whole; other columns
+    don't count; no pages give no archives. Names hold the attempt, so that a late one can't touch another's files; each
+    file appears whole, by a rename, and only files whose names a task returned are ever read."""
+    reach(pages.sparkSession)
     side = stored(revisits(pages), "revisits")
     rows = pages.select("page_id", "url", "html").join(sized(side), "page_id", "left")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, held, size, made = TaskContext.get().partitionId(), [], 0, 0
+        part, attempt, held, size, made = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), [], 0, 0
         store, root = _place(folder)
         store.create_dir(root, recursive=True)
 
         def flush() -> pd.DataFrame:
-            name = f"{part:06d}-{made:05d}.warc.zst"
+            name = f"{part:06d}-{made:05d}-{attempt}.warc.zst"
             info = record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date": date, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
             data = archive_bytes([info, *held])
             draft = f"{root}/.{name}.{uuid.uuid4().hex}"
@@ -195,6 +197,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes pages and reads the archives back; what is done with odd rows is said at write_archives."""
     archives = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
