@@ -23,8 +23,8 @@ LANGUAGES = 20_000
 UNKNOWN = "und"
 #: A unit profile's components are summed as whole multiples of this, so that no order of sums matters.
 UNIT = 2.0**-40
-#: Trigrams whose vectors a worker remembers, characters counted at a time.
-KNOWN, STEP = 32_768, 1 << 20
+#: Trigrams whose vectors a worker remembers, trigrams bundled and characters counted at a time.
+KNOWN, AT_ONCE, STEP = 16_384, 2048, 1 << 20
 #: Cosine that a text must have with some prototype to be in a known language: two standard deviations of chance.
 CHANCE = 2 / DIM**0.5
 
@@ -55,8 +55,8 @@ class _Vectors:
 
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out = np.zeros(DIM, dtype=np.float32)
-        for at in range(0, len(grams), KNOWN // 2):
-            some = grams[at : at + KNOWN // 2].tolist()
+        for at in range(0, len(grams), AT_ONCE):
+            some = grams[at : at + AT_ONCE].tolist()
             if len(self.place) + len(some) > KNOWN:
                 self.place.clear()
             places = []
@@ -66,7 +66,7 @@ class _Vectors:
                     k = self.place[g] = len(self.place)
                     self.rows[k] = trigram_vector(g)
                 places.append(k)
-            out += counts[at : at + KNOWN // 2] @ self.rows[places].astype(np.float32)
+            out += counts[at : at + AT_ONCE] @ self.rows[places].astype(np.float32)
         return out
 
 
