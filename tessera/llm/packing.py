@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
-from tessera.llm.common import stored, table
+from tessera.llm.common import reach, stored, table
 
 CAPACITY = 2048
 #: Pieces that one population packs, and the share of it that is dealt, so that chance doesn't go beyond it; populations of
@@ -33,7 +33,7 @@ def token_pieces(spark: SparkSession, docs: DataFrame, path: str, capacity: int
 
     A document is its ids by the tokenizer of the file at path, then the id end; null is as empty, so each document has at
     least one id. If longer than capacity it is cut so that all pieces but the first have capacity ids."""
-    whole = spark.sparkContext.broadcast(bpe.proved(path))
+    whole = reach(spark).sparkContext.broadcast(bpe.proved(path))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = bpe.loaded(path, whole.value)
@@ -248,6 +248,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     the pieces; the pieces of its other bins meet those of other shards in a next level, half the size at most, until one
     shard is left. Pieces are rows of their own and never joined by doc_id, so repeated rows and ids, and rows with a null
     id, are packed as often as they come. No documents give no rows; ties of lengths go by the order of columns."""
+    reach(pieces.sparkSession)
     pieces = stored(pieces.select(*_COLUMNS, F.monotonically_increasing_id().alias("row")), "pieces")
     full = pieces.where(F.col("length") == capacity).select(*_COLUMNS, (F.col("row") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     done, rest, level = [full], pieces.where(F.col("length") < capacity), 0
