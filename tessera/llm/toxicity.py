@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fold, stored, table, unused
+from tessera.llm.common import fold, reach, stored, table, unused
 
 #: Length of subsequences (all of a shorter landmark), decay of each letter they span, START of each word.
 ORDER, DECAY, START = 5, np.float32(0.7), "^"
@@ -31,7 +31,7 @@ LANDMARKS, PER_LABEL = 128, 2000
 CANDIDATES, COVER, ALIKE, STEM = 2000, 3, 0.3, range(3, 9)
 #: Windows of a long word (each begins half a window behind the last), pairs of words and landmarks worked out at a time,
 #: words remembered, characters scored at a time.
-WINDOW, PAIRS, CACHE, CHUNK = 24, 20_000, 500_000, 500_000
+WINDOW, PAIRS, CACHE, CHUNK = 24, 20_000, 200_000, 500_000
 #: Letters alone in a row that may be a word.
 SPACED = 3
 #: Letters put into the landmarks of toxic texts in further copies that training gets; shortest word that is so disguised.
@@ -453,7 +453,7 @@ def sampled(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> t
 
 def toxicity(spark: SparkSession, text: Column, model: Model) -> Column:
     """The probability that a text is toxic; null and empty texts get that of a text without words."""
-    sent = spark.sparkContext.broadcast(model)
+    sent = reach(spark).sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
@@ -467,7 +467,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per row of documents: doc_id, held_out, score, predicted. Repeated rows give repeated rows; no documents give none."""
+    """Per row of documents: doc_id, held_out, score, predicted. Null texts are as empty; texts of any length count whole;
+    repeated rows give repeated rows; no documents give none; other columns don't count."""
     docs = table(spark, sf_dir, "documents")
     model = trained(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), toxicity(spark, F.col("text"), model).alias("score"))
