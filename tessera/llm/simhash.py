@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import sized, stored, table, without
+from tessera.llm.common import reach, sized, stored, table, without
 from tessera.llm.components import components
 
 BITS, SEED = 64, 42
@@ -21,6 +21,8 @@ BITS, SEED = 64, 42
 PIVOTS = np.array([xxhash.xxh64_intdigest(k.to_bytes(8, "little"), SEED) for k in range(16)], dtype=np.uint64)
 #: Rows of one key that a task compares at a time; more are dealt out as tiles.
 TILE = 8192
+#: Fingerprints that may have a key in common by chance; with more fingerprints keys get wider.
+GROUP = 4
 #: Shingles whose bits are summed at a time.
 STEP = 1 << 14
 #: Least share of common shingles in all shingles of two near copies, as a fraction.
@@ -152,17 +154,27 @@ def tiles(keyed: DataFrame, by: str) -> DataFrame:
     return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile")
 
 
+def equal_blocks(fingerprints: int, radius: int) -> int:
+    """How many blocks make a key: two at least, and so many that a key has about GROUP fingerprints by chance at most."""
+    equal = 2
+    while fingerprints > GROUP << BITS * equal // (radius + equal) and equal < BITS - radius:
+        equal += 1
+    return equal
+
+
 def near_links(prints: DataFrame, radius: int) -> DataFrame:
     """prints(print, id): different fingerprints, each with its id. Returns links (a, b) of ids that connect what all
     pairs within radius bits connect.
 
-    A fingerprint is cut into radius + 2 blocks. Every pair within radius agrees in two whole blocks at least, so it shares
-    one of the keys made of two blocks. Keys with over TILE fingerprints are cut into parts; each pair of parts is a tile of
-    its own, so that no task gets an unbounded group and no pair is lost."""
-    blocks = radius + 2
+    A fingerprint is cut into radius + e blocks. Every pair within radius agrees in e whole blocks at least, so it shares one
+    of the keys made of e blocks. e grows with the number of fingerprints (`equal_blocks`), so that groups by chance stay
+    small. Keys with over TILE fingerprints are cut into parts; each pair of parts is a tile of its own, so that no task gets
+    an unbounded group and no pair is lost."""
+    equal = equal_blocks(prints.count(), radius)
+    blocks = radius + equal
     edges = [BITS * k // blocks for k in range(blocks + 1)]
     block = [(1 << high) - (1 << low) for low, high in zip(edges, edges[1:], strict=False)]
-    masks = [x | y for x, y in combinations(block, 2)]
+    masks = [sum(some) for some in combinations(block, equal)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     key = F.array(*[F.xxhash64(F.lit(n), F.col("print").bitwiseAND(F.lit(m))) for n, m in enumerate(signed)])
     keyed = prints.select("print", "id", F.explode(key).alias("key"))
@@ -173,14 +185,20 @@ def near_groups(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id
     reachable over fingerprints at most radius bits apart).
 
-    Null and empty texts have fingerprint zero and link like any other. Rows repeated with one doc_id come out as often.
+    Null and empty texts have fingerprint zero and link like any other; texts of any length count whole; columns but doc_id
+    and text don't count. Rows repeated with one doc_id come out as often.
     Rows with a null doc_id get component_id by the others of their fingerprint. An empty table gives no rows. Copies
     have one fingerprint and count as one node, whatever their number."""
+    reach(docs.sparkSession)
     rows = stored(docs.select("doc_id", fingerprint(F.col("text"), words).alias("print")), "prints")
-    nodes = stored(rows.groupBy("print").agg(F.min("doc_id").alias("id")), "nodes")
-    group = components(near_links(nodes.where("id is not null"), radius))
-    low = nodes.join(group, nodes.id == group.node, "left").select("print", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(low, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = stored(rows.groupBy("print").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
+    group = components(near_links(nodes.where("id is not null").select("print", "id"), radius))
+    low = nodes.join(sized(group.withColumnRenamed("node", "id")), "id", "left").select("print", "n", F.coalesce("component", "id").alias("component_id"))
+    low = stored(low, "lowest")
+    hot = low.where(F.col("n") > TILE).drop("n")  # at most one in TILE rows; their rows are decided where they lie
+    usual = rows.join(sized(hot.select("print")), "print", "left_anti").join(sized(low.where(F.col("n") <= TILE).drop("n")), "print")
+    both = usual.unionByName(rows.join(sized(hot), "print"))
+    return both.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -209,7 +227,7 @@ def possible_pairs(keys: np.ndarray, pdf: pd.DataFrame) -> tuple[np.ndarray, np.
     """Pairs of ids within each key, in different components, that sizes and sketches leave as possible near copies."""
     order = np.lexsort((pdf["size"].to_numpy(), keys))
     keys, size, ids, comp = keys[order], pdf["size"].to_numpy()[order].astype(np.int64), pdf.id.to_numpy()[order], pdf.comp.to_numpy()[order]
-    bits = np.stack(pdf.sketch.to_numpy())[order] if len(pdf) else np.zeros((0, 1), dtype=np.int64)
+    bits = np.stack(pdf.sketch.to_numpy())[order].view(np.uint64) if len(pdf) else np.zeros((0, 1), dtype=np.uint64)  # counts of negative numbers would be those of their absolute values
     left, found_a, found_b = np.arange(len(keys)), [], []
     step = 1
     while len(left):
@@ -329,10 +347,12 @@ def alike_groups(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs with one row of each group of near copies: the smallest doc_id. All columns stay; rows with a null doc_id stay."""
+    """docs with one row of each group of near copies: the smallest doc_id. All columns stay, whatever their names; rows with a null doc_id
+    stay; rows repeated with one doc_id go or stay together."""
     groups = stored(alike_groups(docs.select("doc_id", "text"), words), "near_groups")
     return without(docs, groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_groups of documents with four words and four bits; what it does with odd rows is said there."""
     return near_groups(table(spark, sf_dir, "documents"), words=4, radius=4)

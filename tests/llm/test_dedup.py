@@ -2,6 +2,7 @@ import re
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -101,9 +102,16 @@ def test_links_connect_what_pairs_connect():
     assert (far <= np.bitwise_count(prints[:, None] ^ prints[None])).all()
 
 
-@pytest.mark.parametrize("radius, tile", [(4, 8192), (6, 8192), (4, 8)])
-def test_near_links_lose_no_link(spark, monkeypatch, radius, tile):
+def test_keys_widen_with_the_number_of_fingerprints():
+    assert [s.equal_blocks(n, 4) for n in (0, 10**5, 10**7, 10**9, 10**11)] == [2, 2, 3, 4, 5]
+    assert s.equal_blocks(10**30, 4) < 64
+
+
+@pytest.mark.parametrize("radius, tile, group", [(4, 8192, 4), (6, 8192, 4), (4, 8, 4), (4, 8192, 0)])
+def test_near_links_lose_no_link(spark, monkeypatch, radius, tile, group):
     monkeypatch.setattr(s, "TILE", tile)
+    if not group:
+        monkeypatch.setattr(s, "equal_blocks", lambda n, r: 4)
     rng = np.random.default_rng(radius)
     prints = {}
     for g in range(12):
@@ -138,6 +146,18 @@ def test_near_groups_of_documents(spark):
     assert kept.columns == df.columns and sorted({r.doc_id for r in kept.collect()}) == [3, 5, 6]
 
 
+def test_rows_of_hot_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(s, "TILE", 50)
+    texts = ["one text of many rows"] * 400 + [""] * 300 + [f"text number {k} of its own" for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in s.near_groups(df, 4, 0).collect()}
+    prints = {k: brute_simhash(x, 4) for k, x in enumerate(texts)}
+    first = {}
+    for k, x in prints.items():
+        first.setdefault(x, k)
+    assert got == {k: (f"{x:016x}", first[x]) for k, x in prints.items()}
+
+
 def test_near_query_against_brute_force(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     prints = {i: brute_simhash(t, 4) for i, t in docs.items()}
@@ -186,6 +206,20 @@ def test_near_copies_from_eight_to_nine_tenths_go(spark, monkeypatch, tile, comm
     assert sorted(r.doc_id for r in s.keep_one(df).collect()) == sorted(set(want.values()))
 
 
+def test_possible_pairs_keep_every_near_copy():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 2**64, 150, dtype=np.uint64)
+        sets += [np.unique(np.concatenate((base[: 150 - n], rng.integers(0, 2**64, n, dtype=np.uint64)))) for n in (0, 4, 8, 12, 15, 16, 40)]
+    pdf = pd.DataFrame({"id": range(len(sets)), "comp": range(len(sets)), "size": [len(x) for x in sets], "sketch": [s.sketch(x) for x in sets]})
+    a, b = s.possible_pairs(np.zeros(len(sets), dtype=int), pdf)
+    found = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    alike = {(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    alike = {(min(p), max(p)) for p in alike}
+    assert len(alike) > 300 and alike <= found and len(found) < 2000
+
+
 def test_few_bits_without_common_shingles_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
