@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from tessera.functions.tokens import approximate, token_count
 from tessera.operators import filters, packing, render, sinks
 from tessera.plans.options import Options, extension_list, resolve
 from tessera.plans.templates import TEMPLATES, template_dim
-from tessera.session import stored
+from tessera.session import reach, scratch, stored
 from tessera.sources.tables import PATHS, table_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +75,51 @@ def _sql_files(*tables: str) -> str:
 
 _add("scan_files", lambda s, d: table_files(s, d).select("path", "name", "length"), f"SELECT path, name, length FROM {_sql_files()}")
 _add("relative_path", lambda s, d: table_files(s, d, "documents").select(F.translate(F.translate("path", "/", "\\"), "\\", "/").alias("path"), "relative_path"), f"SELECT path, relative_path FROM {_sql_files('documents')}")
+
+
+def _written_tree(s: SparkSession, d: str) -> str:
+    """Documents as files of a new tree, in three encodings, some hidden, with ignore rules; its folder, which executors and
+    driver must see as a local one."""
+    place = scratch(s, "tree")
+    if not place.startswith(("file:", "/")):
+        raise ValueError(f"files of a tree need a mounted folder, not {place}")
+    root = "/" + place.removeprefix("file:").lstrip("/") + "/tree"
+    reach(s)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc_id, text, folder in zip(pdf.doc_id, pdf.text, pdf.folder, strict=True):
+                os.makedirs(f"{root}/{folder}", exist_ok=True)
+                data = text.encode(("utf-8", "utf-8-sig", "utf-32")[doc_id % 3])
+                with open(f"{root}/{folder}/{'.' * (doc_id % 5 == 0)}doc_{doc_id}.md", "wb") as f:
+                    f.write(data)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    folder = F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none")))
+    docs = s.read.parquet(f"{d.rstrip('/')}/documents.parquet").where("doc_id is not null")
+    docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), folder.alias("folder")).mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    os.makedirs(f"{os.path.dirname(root)}/.git", exist_ok=True)  # the walk for ignore rules ends below it
+    os.makedirs(root, exist_ok=True)
+    with open(f"{root}/.gitignore", "w", encoding="utf-8") as f:
+        f.write("# rules\n\nde/*/*\n*.log\n")
+    return root
+
+
+def _repo_tree(s: SparkSession, d: str) -> DataFrame:
+    from tessera.plans.engine import Engine
+
+    kept = Options(source_directory=_written_tree(s, d), only_extensions=(".md",), exclude_directories=("src3",), ignore_binary_files=False, exclude_auto_generated=False)
+    return Engine(s, kept).files().select("relative_path", "name", "extension", "length", "content")
+
+
+_add(
+    "repo_tree",
+    _repo_tree,
+    "SELECT relative_path, regexp_extract(relative_path, '[^/]*$') AS name, '.md' AS extension, length, text AS content FROM ("
+    "SELECT coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/' || CASE WHEN doc_id % 5 = 0 THEN '.' ELSE '' END || 'doc_' || CAST(doc_id AS VARCHAR) || '.md' AS relative_path, lang, source, coalesce(text, '') AS text,"
+    " CASE doc_id % 3 WHEN 0 THEN octet_length(encode(coalesce(text, ''))) WHEN 1 THEN 3 + octet_length(encode(coalesce(text, ''))) ELSE 4 + 4 * length(coalesce(text, '')) END AS length"
+    " FROM documents WHERE doc_id IS NOT NULL) f WHERE length > 0 AND lang IS DISTINCT FROM 'de' AND source IS DISTINCT FROM 'src3'",
+)
 _add("file_extension", lambda s, d: table_files(s, d).groupBy("extension").agg(F.count(F.lit(1)).alias("files")), f"SELECT extension, count(*) AS files FROM {_sql_files()} GROUP BY extension")
 
 # Configuration.
