@@ -28,20 +28,20 @@ CSS: list[Step] = [BLOCK_COMMENT, *STYLE]
 SCSS: list[Step] = [LINE_COMMENT, BLOCK_COMMENT, *STYLE]
 JAVASCRIPT: list[Step] = [LINE_COMMENT, BLOCK_COMMENT, BLANKS_TO_ONE, LINE_ENDS, SPACES, (r"\s*([{}\[\]();,:])\s*", "$1", False)]
 JSON: list[Step] = [NO_NEWLINES, (r":\s+", ":", False), (r",\s+", ",", False), (r"([\[{])\s+", "$1", False), (r"\s+([\]}])", "$1", False)]
-# A quoted attribute loses its quotes unless its value has one of < > & ' ": marked, unquoted where allowed, unmarked.
+# Marks are noncharacters, which texts don't hold. A quoted attribute loses its quotes unless its value has one of < > & ' ": marked, unquoted where allowed, unmarked.
 ATTRIBUTES: list[Step] = [
-    (r'(\S+)="([^"\s]+)"', "\ue000$1\ue001$2\ue002", False),
-    ("\ue000([^\ue000-\ue002]*)\ue001([^\ue000-\ue002<>&']*)\ue002", "$1=$2", False),
-    ("\ue000([^\ue001]*)\ue001([^\ue002]*)\ue002", '$1="$2"', False),
+    (r'(\S+)="([^"\s]+)"', "\ufdd0$1\ufdd1$2\ufdd2", False),
+    ("\ufdd0([^\ufdd0-\ufdd2]*)\ufdd1([^\ufdd0-\ufdd2<>&']*)\ufdd2", "$1=$2", False),
+    ("\ufdd0([^\ufdd1]*)\ufdd1([^\ufdd2]*)\ufdd2", '$1="$2"', False),
 ]
 HTML: list[Step] = [TAG_COMMENT, BETWEEN_TAGS, *ATTRIBUTES, SPACES, LINE_ENDS]
 RAZOR: list[Step] = [TAG_COMMENT, BLOCK_COMMENT, LINE_COMMENT, (r"(?s)@\*.*?\*@", "", False), BETWEEN_TAGS, (r"@\(\s+", "@(", False), (r"\s+\)", ")", False), SPACES, LINE_ENDS, BLANKS_TO_TWO]
 XML: list[Step] = [TAG_COMMENT, BETWEEN_TAGS, (r"^\s+", "", True), (r"\s+$", "", True), (r"(\?>\s*)", "?>\n", False), (r"[\r\n]+(?!<\?)", "", False), SPACES]
 # A line underlined with = or - becomes a heading: marked with the kind of line, then written.
 HEADINGS: list[Step] = [
-    (r"^(.+)(\r?\n)([=\-])[=\-]{2,}\s*$", "\ue000$3$1\ue001", True),
-    ("\ue000=\\s*(.*?)\\s*\ue001", "# $1", False),
-    ("\ue000-\\s*(.*?)\\s*\ue001", "## $1", False),
+    (r"^(.+)(\r?\n)([=\-])[=\-]{2,}\s*$", "\ufdd0$3$1\ufdd1", True),
+    ("\ufdd0=\\s*(.*?)\\s*\ufdd1", "# $1", False),
+    ("\ufdd0-\\s*(.*?)\\s*\ufdd1", "## $1", False),
 ]
 RULES: Step = (r"^\s*[-*_]{3,}\s*(\r?\n)?", "", True)
 TABLES: Step = (r"\s*\|\s*", "|", False)

@@ -46,7 +46,7 @@ def _re2(pattern: str, lines: bool) -> str:
 _REWRITTEN: dict[tx.Step, list[tx.Step]] = {
     m.LINE_COMMENT: [(r"(^|[^:])//[^/\r\n][^\r\n]*", "$1", False), (r"(^|[^:])//(\r|\n|$)", "$1$2", False)],
     (r"(?<!  )[ \t]+$", "", True): [(r"[ \t]+$", "", True)],
-    (r"[\r\n]+(?!<\?)", "", False): [(r"[\r\n]<\?", "\ue000<?", False), (r"[\r\n]+", "", False), ("\ue000", "\n", False)],
+    (r"[\r\n]+(?!<\?)", "", False): [(r"[\r\n]<\?", "\ufdd0<?", False), (r"[\r\n]+", "", False), ("\ufdd0", "\n", False)],
 }
 
 
