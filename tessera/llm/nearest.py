@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import reach, stored, table
+from tessera.llm.common import reach, sized, stored, table
 
 #: One-bit codes of a vector: the first of its direction, each other one of what those before leave.
 LEVELS = 8
@@ -116,9 +116,25 @@ def candidates(numbered: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     right = asked.select("row", "embedding", F.size("embedding").alias("dim")).withColumn("part", own(parts)).withColumn("block", every_one(blocks))
     keys = ("dim", "block", "part")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_tile(k), "query_row long, row long, low double, high double")
+    found = stored(found, "near")
     best = Window.partitionBy("query_row").orderBy(F.col("low").desc())
-    least = F.nth_value("low", k).over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return found.withColumn("least", least).where("least is null or high >= least").select("query_row", "row")
+    least = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy("query_row").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("least"))
+    least = least.select("query_row", F.when(F.col("n") == k, F.col("least")).alias("least"))
+    return found.join(sized(stored(least, "least")), "query_row").where("least is null or high >= least").select("query_row", "row")
+
+
+def without_surplus(numbered: DataFrame, k: int) -> DataFrame:
+    """numbered(row, vec_id, embedding) without copies that can't be among k nearest: of equal vectors, which tie for every
+    query, those with the k + 1 smallest vec_ids are enough, one of them perhaps being the query."""
+    copies = (F.xxhash64("embedding").alias("a"), F.xxhash64("embedding", F.lit(1)).alias("b"))
+    hashed = numbered.select("*", *copies)
+    many = stored(hashed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("a", "b"), "copied")
+    if many.isEmpty():
+        return numbered
+    first = Window.partitionBy("a", "b").orderBy("vec_id", "row")
+    some = hashed.select("row", "vec_id", "a", "b").join(sized(many), ["a", "b"]).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    others = hashed.join(sized(many), ["a", "b"], "left_anti").select(numbered.columns)
+    return others.unionByName(numbered.join(sized(stored(some.select("row"), "copies")), "row", "left_semi").select(numbered.columns))
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
@@ -130,7 +146,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     vectors meet others of their own dimension only. A repeated row is a query and a candidate as often as it comes; other
     columns don't count. An empty table gives no rows.
 
-    Every row is coded once. Codes and queries meet in tiles of bounded size, dealt by row number, so no value of a key can
+    Every row is coded once, but for copies beyond the k + 1 with the smallest vec_ids, which no query needs. Codes and queries meet in tiles of bounded size, dealt by row number, so no value of a key can
     make a task large; only codes are copied for tiles. Bounds choose the pairs, a few more than k a query, that are scored on
     the original vectors."""
     reach(vectors.sparkSession)
@@ -140,7 +156,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     asked = numbered.where(F.pmod("vec_id", F.lit(every)) == 0)
     if asked.isEmpty():
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    pairs = stored(candidates(numbered, asked, k), "pairs")
+    pairs = stored(candidates(without_surplus(numbered, k), asked, k), "pairs")
     queries = asked.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
     scored = pairs.join(numbered, "row").join(queries, "query_row").select("query_row", "query_id", "vec_id", "embedding", "asked")
     scored = scored.mapInPandas(_products, "query_row long, query_id long, vec_id long, score double")

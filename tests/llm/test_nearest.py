@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import nearest as n
 
@@ -82,3 +83,20 @@ def test_odd_rows(spark):
     assert got[0] == [(1, 1, 1.0), (2, 2, 1.0), (3, 40, 0.5), (4, 40, 0.5)]
     assert got[40] == sorted(2 * [(1, 0, 0.5), (2, 1, 0.5), (3, 2, 0.5), (4, 40, 0.5)]) and set(got) == {0, 40}
     assert n.nearest(df.limit(0)).collect() == []
+
+
+def test_copies_by_the_hundred(spark):
+    """A third of all rows are one vector: of its copies each query gets those with the smallest ids, and none is lost."""
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((600, 8)).round(2)
+    vectors[::3] = vectors[0] * 3
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    numbered = df.withColumnRenamed("vec_id", "row").withColumn("vec_id", F.col("row"))
+    assert n.without_surplus(numbered, 20).count() == 400 + 21
+    got = {}
+    for r in sorted(n.nearest(df).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(np.arange(600), vectors, 20, 20)
+    assert got.keys() == want.keys()
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.99 * 20 * len(want)
+    assert got[0] == want[0] and got[60] == want[60]  # the copies themselves
