@@ -142,3 +142,17 @@ def test_giant_and_odd_documents(spark, model):
     want = sorted((7 if k in (3, 4) else k, max(1, -(-(len(t or "") + 1) // pieces.CHUNK)), model.library.encode(t or ""), True) for k, t in enumerate(texts))
     assert got == want
     assert pieces.encoded(df.limit(0), MODEL).collect() == []
+
+
+def test_pieces_of_the_table(spark, sf_dir):
+    import zlib
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        ids = library.encode(r.text or "")
+        want[r.doc_id] = (len(ids), zlib.crc32(np.array(ids, dtype="<i4").tobytes()))
+    rows = pieces.op10_pieces(spark, sf_dir).collect()
+    assert len(rows) == len(want) and {r.doc_id: (r.n_pieces, r.ids_crc32) for r in rows} == want and all(r.round_trip for r in rows)
