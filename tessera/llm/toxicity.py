@@ -30,12 +30,14 @@ LANDMARKS, PER_LABEL = 128, 2000
 #: landmarks are too much alike, letters of a beginning that may be one.
 CANDIDATES, COVER, ALIKE, STEM = 2000, 3, 0.3, range(3, 9)
 #: Windows of a long word (each begins half a window behind the last), pairs of words and landmarks worked out at a time,
-#: words remembered, characters scored at a time.
-WINDOW, PAIRS, CACHE, CHUNK = 24, 20_000, 200_000, 500_000
+#: words remembered, characters scored at a time, sentences
+#: that a step of training works on at a time.
+WINDOW, PAIRS, CACHE, CHUNK, BLOCK = 24, 20_000, 200_000, 500_000, 20_000
 #: Letters alone in a row that may be a word.
 SPACED = 3
-#: Letters put into the landmarks of toxic texts in further copies that training gets; shortest word that is so disguised.
-INSERTED, DISGUISED = (1, 2), 5
+#: Letters put into the landmarks of toxic texts in further copies that training gets; shortest word that is so disguised;
+#: texts copied, at most, for each number of letters (about as many, evenly spread over those there are).
+INSERTED, DISGUISED, COPIES = (1, 2), 5, 400
 #: Kernel with a landmark from which a word is near, and from which its sentence counts as toxic at first.
 NEAR, NEAR_INSERTED = 0.5, 0.2
 #: Log likelihood ratio of a word that may be a landmark, letters that are put in, seed of where.
@@ -266,14 +268,18 @@ class Model:
 
 
 def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
-    """Linear support vector machine with squared hinge loss, by Newton steps; the last weight is the bias."""
-    x = np.hstack((x, np.ones((len(x), 1))))
-    w = np.zeros(x.shape[1])
+    """Linear support vector machine with squared hinge loss, by Newton steps over blocks of rows; the last weight is the
+    bias."""
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(steps):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        gradient = ridge * w - (x[on] * (weight[on] * y[on] * slack[on])[:, None]).sum(axis=0)
-        curve = (x[on] * weight[on, None]).T @ x[on] + ridge * np.eye(len(w))
+        gradient, curve = ridge * w, ridge * np.eye(len(w))
+        for at in range(0, len(x), BLOCK):
+            part = np.hstack((x[at : at + BLOCK], np.ones((len(x[at : at + BLOCK]), 1))))
+            label, times = y[at : at + BLOCK], weight[at : at + BLOCK]
+            slack = 1 - label * (part @ w)
+            on = slack > 0
+            gradient -= (label * times * slack * on) @ part
+            curve += (part[on] * times[on, None]).T @ part[on]
         step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -316,13 +322,26 @@ def units(text: str) -> set[str]:
     return {w for w in words | {w[:k] for w in words for k in STEM} if len(w) >= STEM.start and len(w) < WINDOW}
 
 
+def frequent(texts: list[str], least: int) -> dict[str, int]:
+    """Units that are in so many texts, and in how many. A table of counts by hash rules out most others first, so that
+    they are never held together."""
+    places = 1 << 22
+    seen = np.zeros(places, dtype=np.uint16)
+    for text in texts:
+        found = units(text)
+        at = np.unique(np.fromiter((hash(u) & places - 1 for u in found), dtype=np.int64, count=len(found)))
+        seen[at] += seen[at] < least
+    kept = (seen >= least).tobytes()
+    often = Counter(u for text in texts for u in units(text) if kept[hash(u) & places - 1])
+    return {u: n for u, n in often.items() if n >= least}
+
+
 def landmark_words(texts: list[str], toxic: list[int]) -> list[str]:
     """Words and beginnings of words most tied to the label (log likelihood ratio of the documents they are in that don't
     hold COVER earlier ones yet; ties: the longer, then the first by letters), unlike each other. Documents are cut into
     words one at a time and again in each pass, so that no more than counts of words are held."""
     n1, n0 = sum(toxic), len(toxic) - sum(toxic)
-    often = Counter(u for label, text in zip(toxic, texts, strict=True) if label for u in units(text))
-    often = {u: n for u, n in often.items() if n >= 3}  # others can't be landmarks
+    often = frequent([text for text, label in zip(texts, toxic, strict=True) if label], 3)  # others can't be landmarks
     other = Counter(u for label, text in zip(toxic, texts, strict=True) if not label for u in units(text) & often.keys())
 
     def tied(a: int, b: int) -> float:
@@ -373,10 +392,11 @@ def disguised(text: str, near: set[str], letters_in: int, rng: random.Random) ->
     return " ".join(tokens)
 
 
-def sentence_kernels(texts: list[str], landmarks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each sentence: its kernels with the landmarks, the largest of one word, the number of its text. Words are held for
-    some texts at a time."""
-    parts, before = [], 0
+def sentence_kernels(texts: list[str], landmarks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each sentence with any: its kernels with the landmarks, the largest of one word, the number of its text. Words are
+    held for some texts at a time. Last, how many sentences of each text have none."""
+    parts, before = [(np.zeros((0, len(landmarks.words)), dtype=np.float32), np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.int64))], 0
+    empty = np.zeros(len(texts), dtype=np.int64)
     for some in chunks(texts):
         split = [sentences(t) for t in some]
         tokens = sorted({w for text in split for s in text for w in s})
@@ -386,11 +406,17 @@ def sentence_kernels(texts: list[str], landmarks: Landmarks) -> tuple[np.ndarray
             rows = [(d, [w for w, v in zip(s, ["", *s], strict=False) if w != v]) for d, text in enumerate(split, before) for s in text]
             index = np.array([place[w] for _, s in rows for w in s])
             first = np.concatenate(([0], np.cumsum([len(s) for _, s in rows])[:-1])).astype(np.int64)
-            near = np.maximum.reduceat(shares.max(axis=1)[index], first)
-            parts.append((np.add.reduceat(shares[index], first, axis=0), near, np.array([d for d, _ in rows])))
+            near, doc = np.maximum.reduceat(shares.max(axis=1)[index], first), np.array([d for d, _ in rows])
+            held = near > 0
+            np.add.at(empty, doc[~held], 1)
+            some_words = shares.any(axis=1)[index]  # words without kernels add nothing
+            sentence = np.repeat(np.arange(len(rows)), np.diff([*first, len(index)]))[some_words]
+            x = np.zeros((len(rows), shares.shape[1]), dtype=np.float32)
+            np.add.at(x, sentence, shares[index[some_words]])
+            parts.append((x[held], near[held], doc[held]))
         before += len(some)
     x, near, doc = zip(*parts, strict=True)
-    return np.concatenate(x), np.concatenate(near), np.concatenate(doc)
+    return np.concatenate(x), np.concatenate(near), np.concatenate(doc), empty
 
 
 def train(texts: list[str], toxic: list[int], share: float | None = None) -> Model:
@@ -406,20 +432,25 @@ def train(texts: list[str], toxic: list[int], share: float | None = None) -> Mod
     if not words:
         return _never(float(y.mean()))
     landmarks = Landmarks(words)
-    near = near_words([t for t, label in zip(texts, toxic, strict=True) if label], landmarks)
+    bad = [t for t, label in zip(texts, toxic, strict=True) if label]
+    bad = bad[:: -(-len(bad) // COPIES)]
+    near = near_words(bad, landmarks)
     rng = random.Random(SEED)
-    more = [disguised(t, near, n, rng) for n in INSERTED for t, label in zip(texts, toxic, strict=True) if label]
+    more = [disguised(t, near, n, rng) for n in INSERTED for t in bad]
     texts, y = [*texts, *more], np.concatenate((y, np.ones(len(more))))
-    x, most_near, doc = sentence_kernels(texts, landmarks)
+    x, most_near, doc, empty = sentence_kernels(texts, landmarks)
     gram = landmarks.kernels(landmarks.words).astype(np.float64)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    features = x @ root
-    clean = y[doc] == 0
-    positive = ~clean & (most_near > NEAR_INSERTED)
+    nothing = int(empty[: len(y)][y == 0].sum())  # clean sentences without any kernel: one row that counts as often
+    features = np.concatenate((x @ root.astype(np.float32), np.zeros((1, len(root)), dtype=np.float32)))
+    times, doc = np.append(np.ones(len(x)), nothing), np.append(doc, -1)
+    del x
+    clean = np.append(y[doc[:-1]] == 0, True)
+    positive = ~clean & np.append(most_near > NEAR_INSERTED, False)
     for _ in range(3):
         used = positive | clean
-        weight = np.where(positive[used], 1 / max(1, positive.sum()), 3 / max(1, clean.sum()))
+        weight = np.where(positive[used], 1 / max(1, positive.sum()), 3 * times[used] / max(1, times[clean].sum()))
         w = _hinge(features[used], np.where(positive[used], 1.0, -1.0), weight * 100)
         margin = features @ w[:-1] + w[-1]
         most = pd.Series(margin).groupby(doc).transform("max").to_numpy()
