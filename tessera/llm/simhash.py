@@ -46,8 +46,12 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 
 def simhash(text: str | None, words: int) -> int:
-    """Bit k is 1 if set in over half of the hashes of the shingles, repeats included; 0 for a text without words."""
-    hashes = shingle_hashes(text, words)
+    """The fingerprint of a text's shingles, repeats included; 0 for a text without words."""
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit k is 1 if set in over half of the hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
     for k in range(0, len(hashes), STEP):
         part = np.unpackbits(hashes[k : k + STEP].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -201,9 +205,9 @@ def near_groups(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
     return both.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
     """Different hashes in order; texts without words have one set, which no other text has."""
-    found = np.unique(shingle_hashes(text, words))
+    found = np.unique(hashes)
     return found if len(found) else np.zeros(1, dtype=np.uint64)
 
 
@@ -252,7 +256,7 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts])
+        return pd.Series([shingle_set(shingle_hashes(t, words)).view(np.int64) for t in texts])
 
     every = max(1, docs.count() // SAMPLED)
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.explode(hashes("text")).alias("hash"))
@@ -277,7 +281,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _slices(batches):
-            sets = [shingle_set(t, words) for t in pdf.text]
+            sets = [shingle_set(shingle_hashes(t, words)) for t in pdf.text]
             wide = [sketch(x, WIDE) for x in sets]
             yield pd.DataFrame({"id": pdf.doc_id, "size": [len(x) for x in sets], "sketch": wide, "set": [x.view(np.int64) for x in sets]})
 
@@ -297,53 +301,68 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf.iloc[at : at + 256]
 
 
-def alike_groups(docs: DataFrame, words: int = 5) -> DataFrame:
+def alike_groups(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable over pairs with a Jaccard similarity of ALIKE / OF or more of
-    their sets of shingles) for each row of docs(doc_id, text) with a doc_id.
-
-    No pair is lost: near copies share a shingle among the rarest few of each (`prefix`). Equal sets count as one node. For
-    each shared shingle a star is verified first, so that large groups hang together; then all pairs that are in different
-    components still, less those that sizes and sketches rule out, are verified. Shingles with many documents are dealt out
-    in tiles."""
+    their sets of shingles) for each row of docs(doc_id, text) with a doc_id. Null and empty texts have one set; texts of
+    any length count whole; rows repeated with one doc_id come out as often; no documents give no rows; columns but doc_id
+    and text don't count.
+
+    Pairs to verify come from SimHash (fingerprints at most radius bits apart, `near_links`), which connects most of a group
+    of copies, and, so that no pair is lost, from shared shingles: near copies share one among the rarest few of each
+    (`prefix`). A shingle of two texts names its pair at once. For one of more texts a star is verified first; then all pairs
+    that are in different components still, less those that sizes and sketches rule out. Shingles with many documents are
+    dealt out in tiles. Equal sets count as one node."""
+    spark = reach(docs.sparkSession)
     docs = docs.where("doc_id is not null")
     common, times = common_shingles(docs, words)
-    sent = docs.sparkSession.sparkContext.broadcast((common, times))
+    sent = spark.sparkContext.broadcast((common, times))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _slices(batches):
-            sets = [shingle_set(t, words) for t in pdf.text]
+            hashes = [shingle_hashes(t, words) for t in pdf.text]
+            sets = [shingle_set(x) for x in hashes]
             yield pd.DataFrame(
                 {
                     "id": pdf.doc_id,
                     "size": [len(x) for x in sets],
+                    "print": np.array([majority(x) for x in hashes], dtype=np.uint64).view(np.int64),
                     "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets],
                     "sketch": [sketch(x) for x in sets],
                     "keys": [prefix(x, *sent.value).view(np.int64) for x in sets],
                 }
             )
 
-    rows = stored(docs.select("doc_id", "text").mapInPandas(describe, "id long, size int, digest binary, sketch array<long>, keys array<long>"), "shingled")
-    first = rows.groupBy("digest").agg(F.min("id").alias("id"))
-    nodes = stored(rows.join(first, ["digest", "id"]).dropDuplicates(["digest"]).select("digest", "id", "size", "sketch", "keys"), "sets")
-    keyed = nodes.select("id", F.explode("keys").alias("key"))
-    seen = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).where("n > 1").drop("n"), "shared_keys")
-    shared = stored(keyed.join(sized(seen), "key").select("key", "id", "low"), "shared")
+    rows = stored(docs.select("doc_id", "text").mapInPandas(describe, "id long, size int, print long, digest binary, sketch array<long>, keys array<long>"), "shingled")
+    again = stored(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").drop("n"), "equal_sets")
+    first = rows.join(sized(again), "digest").where("id = first").drop("first").dropDuplicates(["digest"])
+    single = rows.join(sized(again.select("digest")), "digest", "left_anti")
+    described = stored(single.unionByName(first.select(*rows.columns)).select("id", "size", "print", "sketch", "keys"), "sets")
+    nodes = described.select("id", "size", "sketch")
+    keyed = described.select("id", F.explode("keys").alias("key"))
+    seen = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1"), "shared_keys")
+    shared = stored(keyed.join(sized(seen.where("n > 2").select("key", "low")), "key").select("key", "id", "low"), "shared")
     stars = shared.where("id <> low").groupBy("id", "low").count().groupBy("id")
     stars = stars.agg(F.array(F.max(F.struct("count", "low")).low, F.min("low"), F.max("low")).alias("lows"))
-    stars = stored(stars.select(F.explode(F.array_distinct("lows")).alias("a"), F.col("id").alias("b")), "stars")
-    stars = stored(possible(stars, nodes), "possible")
-    links = verified(docs, stars, words)
+    stars = stars.select(F.explode(F.array_distinct("lows")).alias("a"), F.col("id").alias("b"))
+    copies = described.groupBy("print").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    copies = stored(copies, "prints")
+    near = near_links(copies.select("print", "id"), radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    twins = copies.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    firsts = near.union(twins).union(seen.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))).union(stars).distinct()
+    firsts = stored(possible(stored(firsts, "first_pairs"), nodes), "possible")
+    links = verified(docs, firsts, words)
     group = components(links)
     placed = shared.join(group, shared.id == group.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     placed = stored(placed, "placed")
     mixed = stored(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "mixed")
-    met = placed.join(sized(mixed), "key").join(nodes.select("id", "size", "sketch"), "id").select("key", "id", "comp", "size", "sketch")
+    met = placed.join(sized(mixed), "key").join(nodes, "id").select("key", "id", "comp", "size", "sketch")
     pairs = tiles(met, "id").mapInPandas(_by_tile(possible_pairs), "a long, b long")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    more = verified(docs, pairs.join(stars, ["a", "b"], "left_anti"), words)
-    group = components(links.union(more))
-    low = nodes.join(group, nodes.id == group.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(low, "digest").select(F.col("id").alias("doc_id"), "component_id")
+    more = verified(docs, pairs.join(firsts, ["a", "b"], "left_anti"), words)
+    group = stored(components(links.union(more)), "groups")
+    low = group.select(F.col("node").alias("id"), "component")
+    to_first = rows.select("id", "digest").join(sized(again), "digest", "left").select("id", F.coalesce("first", "id").alias("node"))
+    return to_first.join(sized(low.withColumnRenamed("id", "node")), "node", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "node").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
