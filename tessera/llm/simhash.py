@@ -27,8 +27,11 @@ GROUP = 4
 STEP = 1 << 14
 #: Least share of common shingles in all shingles of two near copies, as a fraction.
 ALIKE, OF = 4, 5
-#: Bits of a parity sketch, and of the wider one that pairs are held against before their sets meet; documents sampled to find common shingles, and common shingles that are kept.
-SKETCH, WIDE, SAMPLED, COMMON = 512, 4096, 10_000, 100_000
+#: Bits of a parity sketch, and of the wider one that pairs are held against too: before their sets meet, and, of sets with
+#: more than NARROW hashes, for which the other says little, before a pair is named at all.
+SKETCH, WIDE, NARROW = 512, 4096, 800
+#: Documents sampled to find common shingles, and common shingles that are kept.
+SAMPLED, COMMON = 10_000, 100_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -228,11 +231,20 @@ def sketch(found: np.ndarray, places: int = SKETCH) -> np.ndarray:
 
 
 def possible_pairs(keys: np.ndarray, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids within each key, in different components, that sizes and sketches leave as possible near copies."""
+    """Pairs of ids within each key, in different components, that sizes and sketches leave as possible near copies; each
+    once for all the keys at hand."""
+    none = np.zeros(0, dtype=np.int64)
+    if not len(pdf):
+        return none, none
     order = np.lexsort((pdf["size"].to_numpy(), keys))
     keys, size, ids, comp = keys[order], pdf["size"].to_numpy()[order].astype(np.int64), pdf.id.to_numpy()[order], pdf.comp.to_numpy()[order]
-    bits = np.stack(pdf.sketch.to_numpy())[order].view(np.uint64) if len(pdf) else np.zeros((0, 1), dtype=np.uint64)  # counts of negative numbers would be those of their absolute values
-    left, found_a, found_b = np.arange(len(keys)), [], []
+    # unsigned, as counts of negative numbers would be those of their absolute values
+    bits = np.stack(pdf.sketch.to_numpy())[order].view(np.uint64)
+    large = np.flatnonzero(size > NARROW)
+    place = np.full(len(size), -1)
+    place[large] = np.arange(len(large))
+    wide = np.stack(pdf.wide.to_numpy()[order][large]).view(np.uint64) if len(large) else np.zeros((0, 1), dtype=np.uint64)
+    left, found = np.arange(len(keys)), [np.zeros((0, 2), dtype=np.int64)]
     step = 1
     while len(left):
         left = left[left < len(keys) - step]
@@ -243,11 +255,15 @@ def possible_pairs(keys: np.ndarray, pdf: pd.DataFrame) -> tuple[np.ndarray, np.
         a, b = left[other], right[other]
         apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
         kept = (OF + ALIKE) * apart <= (OF - ALIKE) * (size[a] + size[b])
-        found_a.append(ids[a[kept]])
-        found_b.append(ids[b[kept]])
+        a, b = a[kept], b[kept]
+        both = np.flatnonzero((place[a] >= 0) & (place[b] >= 0))
+        apart = np.bitwise_count(wide[place[a[both]]] ^ wide[place[b[both]]]).sum(axis=1, dtype=np.int64)
+        far = both[(OF + ALIKE) * apart > (OF - ALIKE) * (size[a[both]] + size[b[both]])]
+        pairs = np.stack((ids[np.delete(a, far)], ids[np.delete(b, far)]), axis=1)
+        found.append(np.sort(pairs, axis=1))
         step += 1
-    none = [np.zeros(0, dtype=np.int64)]
-    return np.concatenate(found_a or none), np.concatenate(found_b or none)
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -328,15 +344,16 @@ def alike_groups(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
                     "print": np.array([majority(x) for x in hashes], dtype=np.uint64).view(np.int64),
                     "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets],
                     "sketch": [sketch(x) for x in sets],
+                    "wide": [sketch(x, WIDE) if len(x) > NARROW else None for x in sets],
                     "keys": [prefix(x, *sent.value).view(np.int64) for x in sets],
                 }
             )
 
-    rows = stored(docs.select("doc_id", "text").mapInPandas(describe, "id long, size int, print long, digest binary, sketch array<long>, keys array<long>"), "shingled")
+    rows = stored(docs.select("doc_id", "text").mapInPandas(describe, "id long, size int, print long, digest binary, sketch array<long>, wide array<long>, keys array<long>"), "shingled")
     again = stored(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").drop("n"), "equal_sets")
     first = rows.join(sized(again), "digest").where("id = first").drop("first").dropDuplicates(["digest"])
     single = rows.join(sized(again.select("digest")), "digest", "left_anti")
-    described = stored(single.unionByName(first.select(*rows.columns)).select("id", "size", "print", "sketch", "keys"), "sets")
+    described = stored(single.unionByName(first.select(*rows.columns)).select("id", "size", "print", "sketch", "wide", "keys"), "sets")
     nodes = described.select("id", "size", "sketch")
     keyed = described.select("id", F.explode("keys").alias("key"))
     seen = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1"), "shared_keys")
@@ -355,7 +372,7 @@ def alike_groups(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     placed = shared.join(group, shared.id == group.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     placed = stored(placed, "placed")
     mixed = stored(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "mixed")
-    met = placed.join(sized(mixed), "key").join(nodes, "id").select("key", "id", "comp", "size", "sketch")
+    met = placed.join(sized(mixed), "key").join(described.select("id", "size", "sketch", "wide"), "id").select("key", "id", "comp", "size", "sketch", "wide")
     pairs = tiles(met, "id").mapInPandas(_by_tile(possible_pairs), "a long, b long")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     more = verified(docs, pairs.join(firsts, ["a", "b"], "left_anti"), words)

@@ -206,18 +206,21 @@ def test_near_copies_from_eight_to_nine_tenths_go(spark, monkeypatch, tile, comm
     assert sorted(r.doc_id for r in s.keep_one(df).collect()) == sorted(set(want.values()))
 
 
-def test_possible_pairs_keep_every_near_copy():
+@pytest.mark.parametrize("size", [150, 1500])
+def test_possible_pairs_keep_every_near_copy(size):
     rng = np.random.default_rng(3)
     sets = []
     for _ in range(40):
-        base = rng.integers(0, 2**64, 150, dtype=np.uint64)
-        sets += [np.unique(np.concatenate((base[: 150 - n], rng.integers(0, 2**64, n, dtype=np.uint64)))) for n in (0, 4, 8, 12, 15, 16, 40)]
-    pdf = pd.DataFrame({"id": range(len(sets)), "comp": range(len(sets)), "size": [len(x) for x in sets], "sketch": [s.sketch(x) for x in sets]})
+        base = rng.integers(0, 2**64, size, dtype=np.uint64)
+        sets += [np.unique(np.concatenate((base[: size - n], rng.integers(0, 2**64, n, dtype=np.uint64)))) for n in (size * k // 150 for k in (0, 4, 8, 12, 15, 16, 40))]
+    wide = [s.sketch(x, s.WIDE) if len(x) > s.NARROW else None for x in sets]
+    pdf = pd.DataFrame({"id": range(len(sets)), "comp": range(len(sets)), "size": [len(x) for x in sets], "sketch": [s.sketch(x) for x in sets], "wide": wide})
     a, b = s.possible_pairs(np.zeros(len(sets), dtype=int), pdf)
     found = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
     alike = {(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
     alike = {(min(p), max(p)) for p in alike}
-    assert len(alike) > 300 and alike <= found and len(found) < 2000
+    assert len(alike) > 300 and alike <= found and len(found) < 2000 and len(a) == len(found)
+    assert s.possible_pairs(np.zeros(0, dtype=int), pdf.head(0))[0].tolist() == []
 
 
 def test_few_bits_without_common_shingles_stay(spark):
