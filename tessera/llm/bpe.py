@@ -1,17 +1,23 @@
 """Byte-level BPE with a whole-token shortcut.
 
 A pre-token whose text is one vocabulary string needs no merges if that string, encoded alone, gives one token. That is
-proved once on the driver for the whole vocabulary (``whole_tokens``); executors then look pre-tokens up and run the
-merges only for the rest, which a bounded cache remembers.
+proved once by a worker for the whole vocabulary (``whole_tokens``); executors then look pre-tokens up and run the
+merges only for the rest, which a bounded cache remembers. The driver never loads a tokenizer.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import regex
+from pyspark.sql import SparkSession
+
+from tessera.llm.common import reach
 
 #: The split pattern of the byte-level vocabulary, with white space by its Unicode property.
 PATTERN = (
@@ -140,11 +146,6 @@ def whole_tokens(bpe: ByteBpe) -> dict[str, int]:
     return out
 
 
-@lru_cache(4)
-def _made(path: str) -> ByteBpe:
-    return ByteBpe(path)
-
-
 def loaded(path: str, whole: dict[str, int]) -> ByteBpe:
     """The worker's tokenizer for this file, made once."""
     key = (path, len(whole))
@@ -156,6 +157,18 @@ def loaded(path: str, whole: dict[str, int]) -> ByteBpe:
 _WORKER: dict = {}
 
 
-def proved(path: str) -> dict[str, int]:
-    """The shortcut table, made on the driver; as large as the vocabulary at most."""
-    return _made(path).whole
+_PROVED: dict[str, dict[str, int]] = {}
+
+
+def proved(spark: SparkSession, path: str) -> dict[str, int]:
+    """The shortcut table; as large as the vocabulary at most. A worker makes it, and keeps its tokenizer for the texts."""
+    if path not in _PROVED:
+
+        def prove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for _ in batches:
+                made = ByteBpe(path)
+                _WORKER[(path, len(made.whole))] = made
+                yield pd.DataFrame({"whole": [pickle.dumps(made.whole)]})
+
+        _PROVED[path] = pickle.loads(reach(spark).range(0, 1, 1, 1).mapInPandas(prove, "whole binary").first().whole)
+    return _PROVED[path]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import reach, scratch, shared_dir, stored
 
-__all__ = ["BROADCAST_KEYS", "fold", "reach", "scratch", "shared_dir", "sized", "stored", "table", "unused", "without"]
+__all__ = ["BROADCAST_KEYS", "fold", "reach", "scratch", "shared_dir", "sized", "stored", "table", "trim", "unused", "without"]
 
 #: Keys that may be broadcast: at 8 bytes a key and Spark's hash relation, under about 30 MB. Beyond it a join shuffles.
 BROADCAST_KEYS = 500_000
@@ -40,3 +43,9 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def trim() -> None:
+    """Gives memory that was freed back to the system, which the C library (glibc; others have no such call) else keeps."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -33,7 +33,7 @@ def token_pieces(spark: SparkSession, docs: DataFrame, path: str, capacity: int
 
     A document is its ids by the tokenizer of the file at path, then the id end; null is as empty, so each document has at
     least one id. If longer than capacity it is cut so that all pieces but the first have capacity ids."""
-    whole = reach(spark).sparkContext.broadcast(bpe.proved(path))
+    whole = reach(spark).sparkContext.broadcast(bpe.proved(spark, path))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = bpe.loaded(path, whole.value)

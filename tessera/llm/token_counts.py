@@ -16,7 +16,7 @@ def token_count(spark: SparkSession, text: Column, path: str) -> Column:
 
     path must be readable on every node. Special strings inside texts are one token each, as is the library's default.
     The shortcut table is broadcast: its size is bound by the vocabulary, whatever the data."""
-    whole = reach(spark).sparkContext.broadcast(bpe.proved(path))
+    whole = reach(spark).sparkContext.broadcast(bpe.proved(spark, path))
 
     @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:

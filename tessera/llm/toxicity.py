@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fold, reach, stored, table, unused
+from tessera.llm.common import fold, reach, stored, table, trim, unused
 
 #: Length of subsequences (all of a shorter landmark), decay of each letter they span, START of each word.
 ORDER, DECAY, START = 5, np.float32(0.7), "^"
@@ -392,31 +392,37 @@ def disguised(text: str, near: set[str], letters_in: int, rng: random.Random) ->
     return " ".join(tokens)
 
 
+def some_kernels(texts: list[str], landmarks: Landmarks, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """sentence_kernels of texts that are numbered from before on."""
+    split, empty = [sentences(t) for t in texts], np.zeros(len(texts), dtype=np.int64)
+    tokens = sorted({w for text in split for s in text for w in s})
+    if not tokens:
+        return np.zeros((0, len(landmarks.words)), dtype=np.float32), np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.int64), empty
+    place = {t: k for k, t in enumerate(tokens)}
+    shares = landmarks.kernels([letters(t) for t in tokens])
+    rows = [(d, [w for w, v in zip(s, ["", *s], strict=False) if w != v]) for d, text in enumerate(split) for s in text]
+    index = np.array([place[w] for _, s in rows for w in s])
+    first = np.concatenate(([0], np.cumsum([len(s) for _, s in rows])[:-1])).astype(np.int64)
+    near, doc = np.maximum.reduceat(shares.max(axis=1)[index], first), np.array([d for d, _ in rows])
+    held = near > 0
+    np.add.at(empty, doc[~held], 1)
+    some_words = shares.any(axis=1)[index]  # words without kernels add nothing
+    sentence = np.repeat(np.arange(len(rows)), np.diff([*first, len(index)]))[some_words]
+    x = np.zeros((len(rows), shares.shape[1]), dtype=np.float32)
+    np.add.at(x, sentence, shares[index[some_words]])
+    return x[held], near[held], doc[held] + before, empty
+
+
 def sentence_kernels(texts: list[str], landmarks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each sentence with any: its kernels with the landmarks, the largest of one word, the number of its text. Words are
-    held for some texts at a time. Last, how many sentences of each text have none."""
-    parts, before = [(np.zeros((0, len(landmarks.words)), dtype=np.float32), np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.int64))], 0
-    empty = np.zeros(len(texts), dtype=np.int64)
+    held for some texts at a time, and given back. Last, how many sentences of each text have none."""
+    parts, before = [], 0
     for some in chunks(texts):
-        split = [sentences(t) for t in some]
-        tokens = sorted({w for text in split for s in text for w in s})
-        if tokens:
-            place = {t: k for k, t in enumerate(tokens)}
-            shares = landmarks.kernels([letters(t) for t in tokens])
-            rows = [(d, [w for w, v in zip(s, ["", *s], strict=False) if w != v]) for d, text in enumerate(split, before) for s in text]
-            index = np.array([place[w] for _, s in rows for w in s])
-            first = np.concatenate(([0], np.cumsum([len(s) for _, s in rows])[:-1])).astype(np.int64)
-            near, doc = np.maximum.reduceat(shares.max(axis=1)[index], first), np.array([d for d, _ in rows])
-            held = near > 0
-            np.add.at(empty, doc[~held], 1)
-            some_words = shares.any(axis=1)[index]  # words without kernels add nothing
-            sentence = np.repeat(np.arange(len(rows)), np.diff([*first, len(index)]))[some_words]
-            x = np.zeros((len(rows), shares.shape[1]), dtype=np.float32)
-            np.add.at(x, sentence, shares[index[some_words]])
-            parts.append((x[held], near[held], doc[held]))
+        parts.append(some_kernels(some, landmarks, before))
         before += len(some)
-    x, near, doc = zip(*parts, strict=True)
-    return np.concatenate(x), np.concatenate(near), np.concatenate(doc), empty
+        trim()
+    x, near, doc, empty = zip(*parts, strict=True)
+    return np.concatenate(x), np.concatenate(near), np.concatenate(doc), np.concatenate(empty)
 
 
 def train(texts: list[str], toxic: list[int], share: float | None = None) -> Model:
@@ -429,6 +435,7 @@ def train(texts: list[str], toxic: list[int], share: float | None = None) -> Mod
         return _never(float(y.mean()) if len(y) else 0.0)
     share = float(y.mean()) if share is None else share
     words = landmark_words(texts, toxic)
+    trim()
     if not words:
         return _never(float(y.mean()))
     landmarks = Landmarks(words)
@@ -458,6 +465,7 @@ def train(texts: list[str], toxic: list[int], share: float | None = None) -> Mod
     model = Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]), np.zeros(5))
     model.curve = _logistic(np.concatenate([model.features(part) for part in chunks(texts)])[: len(texts)], y)
     model.shares.clear()
+    letters.cache_clear()
     if 0 < share < 1:
         model.curve[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return model
@@ -494,7 +502,10 @@ def toxicity(spark: SparkSession, text: Column, model: Model) -> Column:
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(*sampled(docs, labels))
+    """A model learned on the driver, which keeps no more memory than the model's."""
+    model = train(*sampled(docs, labels))
+    trim()
+    return model
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,3 +156,16 @@ def test_pieces_of_the_table(spark, sf_dir):
         want[r.doc_id] = (len(ids), zlib.crc32(np.array(ids, dtype="<i4").tobytes()))
     rows = pieces.op10_pieces(spark, sf_dir).collect()
     assert len(rows) == len(want) and {r.doc_id: (r.n_pieces, r.ids_crc32) for r in rows} == want and all(r.round_trip for r in rows)
+
+
+def test_the_driver_loads_no_tokenizer(spark, sf_dir, own, monkeypatch):
+    def never(*_):
+        raise AssertionError("a tokenizer on the driver")
+
+    from tessera.llm import packing
+
+    monkeypatch.setattr(bpe.ByteBpe, "__init__", never)
+    monkeypatch.setattr(bpe, "_PROVED", {})
+    assert bpe.proved(spark, PATH) == own.whole
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert [r.length for r in packing.token_pieces(spark, docs, PATH).orderBy("doc_id").collect()] == [3, 1]

@@ -1,5 +1,9 @@
 import itertools
+import os
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -212,3 +216,26 @@ def test_repeated_labels_and_ids_without_a_text_take_no_places(spark):
     want = t.sampled(docs, spark.createDataFrame(marks, "doc_id long, toxic int"), 20)
     more = [(k, y) for k, y in marks for _ in range(30)] + [(k, k % 2) for k in range(1000, 1400)]
     assert len(want[0]) == 40 and t.sampled(docs, spark.createDataFrame(more, "doc_id long, toxic int"), 20) == want
+
+
+def test_the_driver_keeps_little_of_what_training_took():
+    code = """
+import random, re, sys
+import pandas as pd
+from pyspark.sql import SparkSession
+from tessera.llm import toxicity as t
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon: +(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+rng = random.Random(3)
+word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(4, 9)))
+texts = [" ".join([word() for _ in range(300)] + ["you", "moron."] * (k % 2)) for k in range(600)]
+t.sampled = lambda docs, labels: (texts, [k % 2 for k in range(600)], None)
+before = held()
+model = t.trained(None, None)
+assert model.landmarks.words
+print(held() - before)
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(t.__file__).parents[2], env=os.environ | {"OMP_NUM_THREADS": "1"}, check=True)
+    assert float(run.stdout) < 40
